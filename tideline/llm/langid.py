@@ -86,9 +86,11 @@ class CrossParser:
         return np.where(codes < 0x10000, self.lut[np.minimum(codes, 0xFFFF)], self.n - 1)
 
     def completed(self, go: np.ndarray) -> np.ndarray:
-        """Entries are 2 * (state * symbols) + 1 if a phrase ends there."""
-        root = np.where(go[0] >= 0, go[0], 0)
-        return np.where(go >= 0, go * (2 * self.n), root * (2 * self.n) + 1).astype(np.int32).ravel()
+        """Entries are 2 * (state * symbols), and 1 more if a phrase begins there; state 0 has none in progress."""
+        begin = np.where(go[0] >= 0, go[0], 0) * (2 * self.n) + 1
+        table = np.where(go >= 0, go * (2 * self.n), begin)
+        table[0] = begin
+        return table.astype(np.int32).ravel()
 
     def parse(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and the symbols parsed. codes: all texts' symbols; starts: one more at the end."""
@@ -105,7 +107,7 @@ class CrossParser:
         out = np.zeros((len(sizes), len(self.langs)), np.int64)
         padded = codes
         states = [np.zeros(len(begin), np.int32) for _ in self.langs]
-        counts = [np.ones(len(begin), np.int32) for _ in self.langs]
+        counts = [np.zeros(len(begin), np.int32) for _ in self.langs]
         for i, n in enumerate(alive.tolist()):
             c = padded[begin[:n] + i].astype(np.int32)
             for table, state, count in zip(self.tables, states, counts, strict=True):

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, minhash, mixing, packing, suffixes, toxicity, vectors
+from . import chat, exact_dedup, langid, lines, minhash, mixing, packing, suffixes, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), room=1024, end_id=2)
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.fuzzy_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
 
@@ -173,6 +178,6 @@ FROM normal JOIN grouped USING (t)
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_toxicity, op3_best_fit_packing, op5_embedding_near_dedup, op6_minhash_near_dedup, op7_language_id, op8_mixing, op9_exact_dedup, op10_suffix_array_dedup, pipeline)
+    for f in (op1_chat_formatting, op2_toxicity, op3_best_fit_packing, op4_fuzzy_lines, op5_embedding_near_dedup, op6_minhash_near_dedup, op7_language_id, op8_mixing, op9_exact_dedup, op10_suffix_array_dedup, pipeline)
 }
 ORACLES = {"op1_chat_formatting": OP1_SQL, "op5_embedding_near_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL}
