@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The reversed Castagnoli polynomial; a fixed value.
 CASTAGNOLI = 0x82F63B78
@@ -28,7 +29,7 @@ def crc32c_bytes(data: bytes) -> int:
     return crc ^ 0xFFFFFFFF
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32C of binary values; Spark's crc32 is of another polynomial. Null stays null."""
     return data.map(crc32c_bytes, na_action="ignore").astype("Int64")

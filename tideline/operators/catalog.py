@@ -22,7 +22,7 @@ DEFAULTS = {
 
 def valid_name(name: Column) -> Column:
     """Not empty, not . or .., at most 249 bytes, letters, digits, dot, underscore and dash only."""
-    return F.coalesce(name.rlike(r"^[A-Za-z0-9._-]+$") & ~name.isin(".", "..") & (F.octet_length(name) <= 249), F.lit(False))
+    return F.coalesce(name.rlike(r"^[A-Za-z0-9._-]+\z") & ~name.isin(".", "..") & (F.octet_length(name) <= 249), F.lit(False))
 
 
 def normal_name(name: Column) -> Column:
