@@ -264,7 +264,7 @@ def bits(x: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool)
 
 
-def repeated_substrings(docs: DataFrame, length: int = 50, inner: int = 24, shard_bytes: int = 4_000_000, key_bytes: int = 16_000_000, part_bytes: int = 2_000_000, hot: int = 65_536, texts: bool = False) -> DataFrame:
+def repeated_substrings(docs: DataFrame, length: int = 50, inner: int = 24, shard_bytes: int = 2_000_000, key_bytes: int = 4_000_000, part_bytes: int = 1_000_000, hot: int = 65_536, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if ``texts``) for every row of ``docs``.
 
     A byte of a document's UTF-8 text goes if a string of ``length`` bytes
