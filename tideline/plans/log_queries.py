@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compaction, ingest, lookup, retention, scan
 from ..sources import event_log as L
+from ..sources import object_files
 from ..sources.event_log import BATCH_SQL, LOG_SQL, OBJECT_SQL, TXN_SQL
 from .registry import query
 
@@ -431,3 +432,19 @@ def aborted_overlap(spark, d):
     log = L.records(spark, d)
     wanted = requests_of(spark, L.batches(log)).withColumn("until", F.col("off") + 200)
     return scan.aborted_overlap(L.transactions(log), wanted).select("request_id", "part", "producer_id", "first_offset", "last_offset")
+
+
+def as_objects(spark, d, codec: int) -> DataFrame:
+    return object_files.encoded(L.records(spark, d), "events", "0" * 32, codec=codec)
+
+
+@query("object_records", f"WITH {LOG_SQL} SELECT part, off, ts_ms, k, v, off // 16 * 16 AS base_offset, 'zstd' AS codec, CAST(NULL AS VARCHAR) AS error FROM log")
+def object_records(spark, d):
+    """The log written as object files of compressed batches, and read back."""
+    back = object_files.decoded(as_objects(spark, d, 4))
+    return back.select("part", "off", "ts_ms", F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"), "base_offset", "codec", "error")
+
+
+@query("object_footers", f"WITH {BATCH_SQL} SELECT part, base_offset, last_offset, max_ts, CAST(num_records AS INT) AS num_records FROM batches")
+def object_footers(spark, d):
+    return object_files.footers(as_objects(spark, d, 1)).select("part", "base_offset", "last_offset", "max_ts", "num_records")
