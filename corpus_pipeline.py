@@ -30,8 +30,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = langid.train(docs, ~held_out)
-    packed = docs.withColumn("__row", F.struct(*docs.columns))
-    return langid.identify(packed.select("doc_id", "text", "__row"), model, carry=["__row"]).where("lang_pred <> 'und'").select("__row.*")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = langid.identify(docs.select("doc_id", "text", F.struct(*[F.col(c) for c in rest], F.lit(0).alias("__none")).alias("__rest")), model, carry=["text", "__rest"])
+    kept = found.where("lang_pred <> 'und'")
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("__rest")[c].alias(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,24 +196,26 @@ def identify(docs: DataFrame, model: CrossParser, carry: list[str] | None = None
     fields = [docs.schema["doc_id"], *[docs.schema[c] for c in carry], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    text = "text" if "text" in carry else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = shared.value
         for batch in batches:
             at = 0
-            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("__text")), 0), np.int64) + 1
+            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64) + 1
             ends = np.cumsum(sizes)
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 3_000_000, "right")))
                 part = batch.slice(at, to - at)
                 at = to
                 usable = part.column("__usable").to_pylist()
-                langs, score = parser.predict(part.column("__text").to_pylist())
+                langs, score = parser.predict(part.column(text).to_pylist())
                 langs = [x if u and x is not None else "und" for x, u in zip(langs, usable, strict=True)]
                 score = np.where([x == "und" for x in langs], 0.0, score)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", *carry)], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", *carry, "lang_pred", "score"])
 
-    rows = docs.select("doc_id", *carry, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("__usable"))
+    extra = [] if text in carry else [F.col("text").alias(text)]
+    rows = docs.select("doc_id", *carry, *extra, F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("__usable"))
     return rows.mapInArrow(run, T.StructType(fields))
 
 
