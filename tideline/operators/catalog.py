@@ -141,3 +141,13 @@ def replay_reasons(entries: DataFrame, catalog: DataFrame) -> DataFrame:
 def raise_watermarks(state: DataFrame, probed: DataFrame) -> DataFrame:
     """hw after probing: never lower than before."""
     return state.join(probed.select("part", F.col("hw").alias("__hw")), "part", "left").withColumn("hw", F.greatest("hw", F.coalesce("__hw", F.lit(0)))).drop("__hw")
+
+
+def metadata(wanted: DataFrame | None, catalog: DataFrame, create: bool = False, default_partitions: int = 1) -> DataFrame:
+    """name, topic_id, partition_count, error_code of the wanted names (null: all topics); 3 where unknown, unless they are created."""
+    if wanted is None:
+        return catalog.select("name", "topic_id", "partition_count", F.lit(0).alias("error_code"))
+    rows = wanted.select("name").distinct().join(catalog.select("name", "topic_id", "partition_count"), "name", "left")
+    new = F.col("topic_id").isNull() & F.lit(create) & valid_name(F.col("name"))
+    code = F.when(~valid_name(F.col("name")), 17).when(F.col("topic_id").isNull() & ~new, 3).otherwise(0)
+    return rows.select("name", F.when(new, F.md5("name")).otherwise(F.col("topic_id")).alias("topic_id"), F.when(new, default_partitions).otherwise(F.col("partition_count")).cast("long").alias("partition_count"), code.alias("error_code"))

@@ -73,3 +73,46 @@ def storage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     rows = prices.join(F.broadcast(usage))  # one row
     parts = [kilo("puts", "put").alias("put_cost"), kilo("gets", "get").alias("get_cost"), kilo("lists", "list").alias("list_cost"), (F.col("gib") * F.col("gib_price")).alias("storage_cost")]
     return rows.select("provider", *parts).withColumn("total", F.col("put_cost") + F.col("get_cost") + F.col("list_cost") + F.col("storage_cost"))
+
+
+def work_share(total: Column, workers: Column, worker: Column) -> Column:
+    """The part of ``total`` for a worker (from 0): even, the remainder to the first ones."""
+    return F.floor(total / workers).cast("long") + F.when(worker < total % workers, 1).otherwise(0)
+
+
+#: Domains of the payload's fields; fixed values.
+SOURCES = ("api", "web", "worker", "billing", "search", "auth", "orders", "gateway")
+LEVELS = ("DEBUG", "INFO", "WARN", "ERROR")
+METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE")
+STATUS = (200, 200, 200, 200, 201, 204, 400, 404, 500)
+
+
+def payloads(ids: DataFrame, size: int, now: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """JSON events of exactly ``size`` characters, made from ``id``: nested meta, a list of tags, padding in msg.
+
+    An event that is longer without padding stays as it is.
+    """
+    h = lambda salt: F.xxhash64("id", F.lit(salt))
+    pick = lambda salt, values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(h(salt), F.lit(len(values))) + 1).cast("int"))
+    number = lambda salt, lo, hi: (F.pmod(h(salt), F.lit(hi - lo + 1)) + lo).cast("int")
+    name = lambda salt, prefix: F.concat(F.lit(prefix), F.lower(F.lpad(F.hex(h(salt)), 16, "0")))
+    meta = F.struct(number("cart", 1, 20).alias("cart_items"), number("cents", 100, 99_999).alias("total_cents"), pick("cur", ("USD", "EUR", "GBP", "JPY")).alias("currency"), number("retry", 0, 2).alias("retry"))
+    fields = [
+        F.lit(now).alias("ts"),
+        name("id", "").alias("id"),
+        pick("src", SOURCES).alias("src"),
+        pick("env", ("prod", "staging", "dev")).alias("env"),
+        pick("level", LEVELS).alias("level"),
+        name("user", "usr_").alias("user_id"),
+        name("session", "ses_").alias("session"),
+        name("request", "req_").alias("request_id"),
+        pick("method", METHODS).alias("method"),
+        pick("status", STATUS).alias("status"),
+        number("ms", 1, 500).alias("duration_ms"),
+        number("bytes", 100, 9_999).alias("payload_bytes"),
+        F.array(pick("t1", ("a", "b")), pick("t2", ("c", "d")), pick("t3", ("e", "f"))).alias("tags"),
+        meta.alias("meta"),
+    ]
+    bare = F.length(F.to_json(F.struct(*fields, F.lit("").alias("msg"))))
+    pad = F.rpad(F.sha2(h("pad").cast("string"), 256), F.greatest(F.lit(size) - bare, F.lit(0)), F.sha2(h("more").cast("string"), 256))
+    return ids.select("id", F.to_json(F.struct(*fields, pad.alias("msg"))).alias("value"))

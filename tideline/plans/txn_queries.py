@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytes_ as B
-from ..operators import catalog, groups, ingest, lookup, telemetry, txn
+from ..operators import catalog, groups, ingest, lookup, membership, telemetry, txn
 from ..sources import event_log as L
 from ..sources.event_log import BATCH_SQL, COMMIT_SQL, LOG_SQL, TXN_SQL
 from .log_queries import state_of, with_now
@@ -526,3 +526,43 @@ def cost_model(spark, d):
     usage = L.table(spark, d, "events").agg(n.alias("puts"), (n * 3).alias("gets"), F.floor(n / 10).alias("lists"), (F.sum(F.length("props")) / F.lit(1024.0)).alias("gib"))
     prices = spark.createDataFrame([("standard", 0.005, 0.0004, 0.005, 0.023), ("archive", 0.02, 0.01, 0.02, 0.004)], "provider string, put double, get double, list double, gib_price double")
     return telemetry.storage_cost(usage, prices)
+
+
+@query("metadata", f"WITH {TOPIC_SQL}, w AS (SELECT unnest(['BUILDING', 'new', 'bad name']) AS name) SELECT w.name, CASE w.name WHEN 'new' THEN md5('new') ELSE topic_id END AS topic_id, CASE w.name WHEN 'new' THEN 1 ELSE partition_count END AS partition_count, CASE w.name WHEN 'bad name' THEN 17 ELSE 0 END AS error_code FROM w LEFT JOIN topics t USING (name)")
+def metadata(spark, d):
+    wanted = spark.createDataFrame([("BUILDING",), ("new",), ("bad name",)], "name string")
+    return catalog.metadata(wanted, topics_of(spark, d), create=True)
+
+
+@query("work_share", "SELECT i AS worker, 1003 // 16 + CASE WHEN i < 1003 % 16 THEN 1 ELSE 0 END AS n FROM range(0, 16) t(i)")
+def work_share(spark, d):
+    return spark.range(16).select(F.col("id").alias("worker"), telemetry.work_share(F.lit(1003), F.lit(16), F.col("id")).alias("n"))
+
+
+@query("payloads", "SELECT i AS id, 1024 AS n, true AS fields FROM range(0, 500) t(i)")
+def payloads(spark, d):
+    """Generated events: exact size, and fields that parse."""
+    made = telemetry.payloads(spark.range(500), 1024)
+    parsed = F.from_json("value", "status int, meta struct<cart_items:int>, tags array<string>")
+    good = parsed["status"].isNotNull() & parsed["meta"]["cart_items"].between(1, 20) & (F.size(parsed["tags"]) == 3)
+    return made.select("id", F.length("value").alias("n"), good.alias("fields"))
+
+
+@query("group_replay")
+def group_replay(spark, d):
+    """Users join one of five groups, send heartbeats and leave: a state machine, tested by vectors."""
+    log = L.records(spark, d).where("event_id % 4 = 0")
+    kind = F.when(F.col("event_type") == "error", "leave").when(F.col("event_type") == "view", "heartbeat").otherwise("join")
+    events = log.select(
+        F.concat(F.lit("g"), (F.col("user_id") % 5).cast("string")).alias("grp"),
+        F.col("event_id").alias("seq"),
+        "ts_ms",
+        kind.alias("kind"),
+        F.col("user_id").cast("string").alias("member_id"),
+        F.lit(None).cast("string").alias("instance_id"),
+        F.array(F.lit("range")).alias("protocols"),
+        F.lit(3_600_000).cast("long").alias("timeout_ms"),
+        F.lit(1).alias("generation"),
+        F.lit(None).cast("map<string,string>").alias("assignments"),
+    )
+    return membership.replay(events)

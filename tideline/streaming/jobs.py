@@ -31,12 +31,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table of that name in the folder, as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
-
-
 def run(stream: DataFrame, spark: SparkSession, mode: str, folder: str | None = None) -> DataFrame:
     """Runs the stream over all that is there; the rows of every batch."""
     folder = folder or shared_dir(spark)
