@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from ._bytes import SPACE, U, blocks, mix, shingles, tokens
 from ._common import Scratch, attach, components
 
-#: 20 bands of 5: a pair at a similarity of 0.85 shares a band with probability 1 - 8e-6.
-BANDS, ROWS = 20, 5
+#: 28 bands of 5: a pair at a similarity of 0.8 shares a band with probability 1 - 1.5e-5, at 0.85 with 1 - 8e-8.
+BANDS, ROWS = 28, 5
+#: Coordinates by which members of large buckets are compared, and how far below the threshold still counts.
+FINE, SLACK = 512, 0.09
 
 
 def permuted(x: np.ndarray) -> np.ndarray:
@@ -48,8 +50,8 @@ def sets(buffer: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set (h1, h2), the bands' keys, and 8 bits of each coordinate."""
-    fields = [docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "h1", "h2")], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    """doc_id, n_shingles, a 128-bit hash of the set (h1, h2) and the bands' keys."""
+    fields = [docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "h1", "h2")], T.StructField("keys", T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buffer, offsets in blocks(batches):
@@ -58,20 +60,18 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             there = np.flatnonzero(size)
             h1, h2 = np.zeros((2, len(size)), U)
             keys = np.zeros((len(size), bands), U)
-            sketch = np.zeros((len(size), bands * rows), np.uint8)
             if len(there):
                 at = begin[there]
                 h1[there] = np.add.reduceat(mix(members + U(1)), at)
                 h2[there] = np.bitwise_xor.reduceat(mix(members + U(2)), at)
                 coordinates = circulant_signature(members, at, bands * rows)
-                sketch[there] = (coordinates & np.uint32(0xFF)).astype(np.uint8)
                 for b in range(bands):
                     key = np.full(len(there), b + 1, U)
                     for c in coordinates[:, b * rows : (b + 1) * rows].T:
                         key = mix(key * U(31) + c.astype(U))
                     keys[there, b] = key
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=[f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=[f.name for f in fields])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 
@@ -89,17 +89,8 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, share: tuple[int, int],
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
-                x, y = (np.frombuffer(t.as_buffer(), U) for t in (a, b))
-                if len(x) > len(y):
-                    x, y = y, x
-                if not len(x) or share[1] * len(x) < share[0] * len(y):
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                good[i] = share[1] * both >= share[0] * (len(x) + len(y) - both)
-            yield batch.select(["u", "v"]).filter(pa.array(good))
+            good = [similar_sets(*(np.frombuffer(t.as_buffer(), U) for t in pair), share) for pair in zip(batch.column("a"), batch.column("b"), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     table = scratch.save(part.mapInArrow(run, "doc_id long, members binary"), "sets")
     joined = pairs.join(table.select(F.col("doc_id").alias("u"), F.col("members").alias("a")), "u").join(table.select(F.col("doc_id").alias("v"), F.col("members").alias("b")), "v")
@@ -108,21 +99,49 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, share: tuple[int, int],
     return out
 
 
-def close_pairs(members: DataFrame, share: tuple[int, int], best: int, block: int) -> DataFrame:
-    """(u, v, cut): untested pairs of large buckets that may link two components.
+def sketched_sets(docs: DataFrame, ids: DataFrame, n: int, broadcast_ids: int) -> DataFrame:
+    """doc_id, members, sketch (8 bits of each of FINE coordinates) of the documents of ``ids``."""
+    few = ids.count() <= broadcast_ids
+    part = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buffer, offsets in blocks(batches):
+            members, begin = sets(buffer, offsets, n)
+            there = np.flatnonzero(np.diff(begin))
+            if len(there):
+                sketch = (circulant_signature(members, begin[there], FINE) & np.uint32(0xFF)).astype(np.uint8)
+                whole = [members[begin[i] : begin[i + 1]].tobytes() for i in there]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(there)), pa.array(whole, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "members", "sketch"])
+
+    return part.mapInArrow(run, "doc_id long, members binary, sketch binary")
+
+
+def similar_sets(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
+    """Whether two sorted sets reach the share."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or share[1] * len(x) < share[0] * len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return share[1] * both >= share[0] * (len(x) + len(y) - both)
+
+
+def links_across(members: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
+    """(u, v): links between components inside large buckets.
 
-    members: bucket, doc_id, component, n_shingles, sketch, n (rows of the
-    bucket). A bucket's members are compared block by block. Of the pairs of
-    two components the ``best`` with the most equal coordinates come out; cut
-    says that there were more.
+    members: bucket, doc_id, component, n_shingles, members, sketch, n (rows
+    of the bucket). A bucket's members are compared block by block: pairs of
+    two components whose sketches are close enough are tested on their full
+    sets, the closest first, until their components are joined. So a task
+    sends out at most one link for each component that it joins.
     """
-    schema = "u long, v long, cut boolean"
 
     def run(table: pa.Table) -> pa.Table:
-        part = np.asarray(table.column("part"))
-        ids, comp, size = (np.asarray(table.column(c)) for c in ("doc_id", "component", "n_shingles"))
+        part, ids, comp, size = (np.asarray(table.column(c)) for c in ("part", "doc_id", "component", "n_shingles"))
+        lo, hi = (table.column(c)[0].as_py() for c in ("lo", "hi"))
+        whole = [np.frombuffer(x.as_buffer(), U) for x in table.column("members")]
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        lo, hi = (np.asarray(table.column(c))[0] for c in ("lo", "hi"))
         left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         found = []
         for i in left.tolist():
@@ -130,26 +149,29 @@ def close_pairs(members: DataFrame, share: tuple[int, int], best: int, block: in
             if lo == hi:
                 other = other[other > i]
             equal = (sketch[other] == sketch[i]).mean(1)
-            near = equal >= share[0] / share[1] - 0.2
-            found.append((np.full(near.sum(), i), other[near], equal[near]))
-        a, b, equal = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, int) for k in range(3))
-        a, b = a.astype(int), b.astype(int)
-        c, d = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-        order = np.lexsort((ids[b], ids[a], -equal, d, c))
-        a, b, c, d = (x[order] for x in (a, b, c, d))
-        new = np.ones(len(a), bool)
-        new[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
-        rank = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-        keep = rank < best
-        u, v = np.maximum(ids[a], ids[b])[keep], np.minimum(ids[a], ids[b])[keep]
-        return pa.table({"u": u, "v": v, "cut": np.full(len(u), not keep.all())})
-
-    blocks_ = F.ceil(F.col("n") / block).cast("int")
-    rows = members.withColumn("blocks", blocks_).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+            near = np.flatnonzero(equal >= share[0] / share[1] - SLACK)
+            found.append(np.stack([np.full(len(near), i), other[near], -equal[near] * FINE], 1))
+        pairs = np.concatenate(found).astype(np.int64)
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in parent:
+                c = parent[c]
+            return c
+
+        out = []
+        for i, j, _ in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist():
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b and similar_sets(whole[i], whole[j], share):
+                parent[max(a, b)] = min(a, b)
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+
+    rows = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    kept = rows.select("bucket", "lo", "hi", "part", "doc_id", "component", "n_shingles", "sketch")
-    return kept.groupBy("bucket", "lo", "hi").applyInArrow(run, schema).distinct()
+    kept = rows.select("bucket", "lo", "hi", "part", "doc_id", "component", "n_shingles", "members", "sketch")
+    return kept.groupBy("bucket", "lo", "hi").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, small: int = 32, block: int = 512, broadcast_ids: int = 2_000_000) -> DataFrame:
@@ -162,12 +184,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 1
 
     Equal sets are one node. In each bucket of a band every node is compared
     with the smallest, which links most groups without pairing their members.
-    Then, as long as a bucket holds nodes of different components that were
-    not compared, these are: all of them in buckets of at most ``small``
-    nodes; in larger ones block by block, by sketch, the closest pairs of two
-    components first, more in each round until none is left that could link
-    (equal coordinates within 0.2 of the threshold: over five standard
-    errors). So no bucket is capped, and no pairs inside a component are made.
+    Then nodes of a bucket that are in different components are compared: all
+    of them in buckets of at most ``small`` nodes; in larger ones block by
+    block, those that could link by a sketch (of 512 coordinates, equal ones
+    within 0.09 of the threshold: five standard errors at a similarity of 0.8
+    and over). So no bucket is capped, and no pairs inside a component are
+    made.
 
     component_id is the smallest doc_id reachable. Texts without words (null
     and empty ones too) have no shingles and link with nothing; so do rows
@@ -187,35 +209,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 1
     members = scratch.save(attach(keyed, centres, ["bucket"], "n", ["centre"], keyed.count(), ["doc_id"]).where("centre IS NOT NULL AND centre <> doc_id"), "members")
     scratch.drop(keyed)
 
-    fresh = scratch.save(members.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")).distinct(), "pairs")
-    tested = fresh
-    links = verified(docs, fresh, n, share, scratch, broadcast_ids)
-    best = 16
-    while True:
-        stars = components(links, scratch)
-        labelled = members.select("bucket", "doc_id", "n_shingles").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        labelled = scratch.save(labelled, "labelled")
-        mixed = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "n")
-        open_ = scratch.save(labelled.join(mixed, "bucket"), "open")
-        few = open_.where(F.col("n") <= small)
-        other = few.select("bucket", F.col("doc_id").alias("v"), F.col("component").alias("c"), F.col("n_shingles").alias("s"))
-        sized = F.least("s", "n_shingles") * share[1] >= F.greatest("s", "n_shingles") * share[0]
-        pairs = few.join(other, "bucket").where((F.col("v") < F.col("doc_id")) & (F.col("c") != F.col("component")) & sized).select(F.col("doc_id").alias("u"), "v", F.lit(False).alias("cut"))
-        many = open_.where(F.col("n") > small)
-        if many.limit(1).count():
-            sketched = many.join(firsts.select("doc_id", "sketch"), "doc_id")
-            pairs = pairs.unionByName(close_pairs(sketched, share, best, block))
-        pairs = pairs.groupBy("u", "v").agg(F.max("cut").alias("cut"))
-        pairs = scratch.save(pairs, "candidates")
-        fresh = scratch.save(pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
-        left, cut = fresh.count(), pairs.where("cut").limit(1).count()
-        scratch.drop(labelled, open_, pairs)
-        if not left and not cut:
-            break
-        more = verified(docs, fresh.select("u", "v"), n, share, scratch, broadcast_ids)
-        tested = tested.select("u", "v").unionByName(fresh.select("u", "v"))
-        links = scratch.save(links.unionByName(more), "links")
-        best *= 8
+    tested = scratch.save(members.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")).distinct(), "pairs")
+    links = verified(docs, tested, n, share, scratch, broadcast_ids)
+    stars = scratch.save(components(links, scratch), "stars")
+
+    labelled = members.select("bucket", "doc_id", "n_shingles").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = scratch.save(labelled, "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "n")
+    open_ = scratch.save(labelled.join(mixed, "bucket"), "open")
+    few = open_.where(F.col("n") <= small)
+    other = few.select("bucket", F.col("doc_id").alias("v"), F.col("component").alias("c"), F.col("n_shingles").alias("s"))
+    sized = F.least("s", "n_shingles") * share[1] >= F.greatest("s", "n_shingles") * share[0]
+    pairs = few.join(other, "bucket").where((F.col("v") < F.col("doc_id")) & (F.col("c") != F.col("component")) & sized).select(F.col("doc_id").alias("u"), "v").distinct()
+    pairs = scratch.save(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+    more = []
+    if pairs.limit(1).count():
+        more.append(verified(docs, pairs, n, share, scratch, broadcast_ids))
+    many = open_.where(F.col("n") > small)
+    if many.limit(1).count():
+        whole = scratch.save(sketched_sets(docs, many.select("doc_id").distinct(), n, broadcast_ids), "sketched")
+        more.append(scratch.save(links_across(many.join(whole, "doc_id"), share, block), "across"))
+    if any(m.limit(1).count() for m in more):
+        edges = stars.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        for m in more:
+            edges = edges.unionByName(m)
+        stars = components(edges, scratch)
 
     settled = groups.join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep")).select(*same, "n", "component_id")
     out = attach(signed.select("doc_id", *same), settled, same, "n", ["component_id"], signed.count(), ["doc_id"])
