@@ -106,31 +106,31 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFram
     """Connected components of ``edges`` (u, v long): node, component for each node of an edge.
 
     Alternating large-star and small-star rounds over DataFrames. Each round
-    leaves one table in the shared folder and sends the driver two numbers.
+    leaves one table in the shared folder and sends the driver three numbers.
     Every node ends on the smallest id that it can reach.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
-    def stats(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether each node has one edge, to a node that has none."""
+        if e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+            return False
+        return not e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
 
     now = scratch.save(edges, "edges")
-    was = stats(now)
     for _ in range(rounds):
-        if not was[0]:
+        if settled(now):
             break
+        n = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
-        large = attach(both, least, ["u"], "n", ["m"], 2 * was[0], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = attach(both, least, ["u"], "n", ["m"], 2 * n, ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.save(large, "large")
-        n = large.count()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = attach(large, least, ["u"], "n", ["m"], n, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         then = scratch.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         scratch.drop(now, large)
-        now, before, was = then, was, stats(then)
-        if was == before:
-            break
+        now = then
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
