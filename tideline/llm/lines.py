@@ -13,14 +13,35 @@ BANDS, ROWS = 12, 4
 
 
 def normal_line(line: Column) -> Column:
-    """Lower case, runs of ASCII white space as one space, none at the ends."""
-    return F.trim(F.lower(F.regexp_replace(line, SPACES, " ")))
+    """Lower case, runs of ASCII white space as one space, none at the ends.
 
+    The regular expression runs only on lines that hold anything but single spaces.
+    """
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, SPACES, " ")).otherwise(line)))
 
-def character_shingles(line: Column, width: int) -> Column:
-    """The ``width`` characters from each word's beginning on, into the next word and no further, as hashes."""
+
+def shingle(word: Column, then: Column, width: int) -> Column:
+    """The ``width`` characters from a word's beginning on, into the next word and no further, as a hash."""
+    return F.xxhash64(F.left(F.concat_ws(" ", word, then), F.lit(width)))
+
+
+def words_of(line: Column) -> tuple[Column, Column]:
+    """A line's words, and each one's next (the last has none)."""
     words = F.split(line, " ")
-    return F.transform(words, lambda w, i: F.xxhash64(F.left(F.concat_ws(" ", w, F.get(words, i + 1)), F.lit(width))))
+    return words, F.slice(words, 2, 1 << 30)
+
+
+def character_shingles(line: Column, width: int) -> Column:
+    return F.zip_with(*words_of(line), lambda w, then: shingle(w, then, width))
+
+
+def shingle_rows(lines: DataFrame, width: int) -> DataFrame:
+    """id, h: a row for each shingle of each line. Without a lambda, so that hashing is compiled."""
+    pairs = lines.select("id", F.inline(F.arrays_zip(*words_of(F.col("text")))).alias("w", "then"))
+    return pairs.select("id", shingle(F.col("w"), F.col("then"), width).alias("h"))
 
 
 def coordinates(n: int) -> list[int]:
@@ -54,7 +75,7 @@ def similar(docs: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int
 def line_groups(docs: DataFrame, scratch: Scratch, width: int, share: tuple[int, int], bands: int, rows: int, broadcast_ids: int) -> DataFrame:
     """node, component over the ids of lines that are similar to another one."""
     spread = coordinates(bands * rows)
-    words = lines_of(docs).select("id", F.explode(character_shingles(F.col("text"), width)).alias("h"))
+    words = shingle_rows(lines_of(docs), width)
     signed = words.groupBy("id").agg(*[F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{k}") for k, c in enumerate(spread)])
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
     keyed = scratch.save(signed.select("id", keys.alias("keys")), "signatures").select("id", F.explode("keys").alias("bucket"))
@@ -84,6 +105,8 @@ def line_groups(docs: DataFrame, scratch: Scratch, width: int, share: tuple[int,
             more = similar(docs, fresh, width, share, scratch, broadcast_ids)
             tested = tested.unionByName(fresh)
             links = scratch.save(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
+            if pivots >= most:
+                return components(links, scratch)
         scratch.drop(labelled, open_)
         pivots *= 4
 
