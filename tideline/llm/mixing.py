@@ -143,7 +143,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     spaces. Adds pass and position (mix_pass and mix_position where ``docs``
     has columns of these names).
     """
-    whole = docs.select("doc_id", "source", "text", F.struct("*").alias("__doc"))
+    rest = [c for c in docs.columns if c != "text"]  # the text travels once
+    whole = docs.select("doc_id", "source", "text", F.struct(*rest).alias("__doc"))
     used = mix_plan(whole, carry=["text", "__doc"], **how).withColumn("__use", F.explode("uses"))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), F.lit(1), F.col("__use.words").cast("int")), " ")
     text = F.when(F.col("__use.words") >= F.col("size"), F.col("text")).otherwise(head)
