@@ -1,12 +1,17 @@
-"""Fuzzy line dedup by MinHash over character shingles, in DataFrame functions only."""
+"""Fuzzy line dedup by MinHash over character shingles at every position."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._bytes import U, mix
 from ._common import SPACES, Scratch, attach, components
+from .minhash import similar_sets
 
 LAST = (1 << 63) - 1  # stands for a null doc_id: no document is larger
 BANDS, ROWS = 12, 4
@@ -34,8 +39,21 @@ def words_of(line: Column) -> tuple[Column, Column]:
     return words, F.slice(words, 2, 1 << 30)
 
 
-def character_shingles(line: Column, width: int) -> Column:
-    return F.zip_with(*words_of(line), lambda w, then: shingle(w, then, width))
+def character_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``width`` characters from every position of each line on, and where each line's begin (one more at the end).
+
+    A shorter line is one shingle, filled up with newlines, which no line holds.
+    """
+    size = np.fromiter((max(len(x), width) for x in lines), np.int64, len(lines))
+    codes = np.frombuffer("".join(x.ljust(width, "\n") for x in lines).encode("utf-32-le"), np.uint32).astype(U)
+    hashes = np.zeros(max(len(codes) - width + 1, 0), U)
+    for j in range(width):
+        hashes += codes[j : j + len(hashes)] * U(pow(0xA0761D6478BD642F, j + 1, 1 << 64))
+    inside = np.ones(len(hashes), bool)
+    ends = np.cumsum(size)[:-1]
+    for j in range(1, width):
+        inside[ends - j] = False
+    return mix(hashes[inside]), np.concatenate([[0], np.cumsum(size - width + 1)])
 
 
 def shingle_rows(lines: DataFrame, width: int) -> DataFrame:
@@ -62,13 +80,22 @@ def similar(docs: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int
     ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
     few = ids.count() <= broadcast_ids
     rows = lines_of(docs).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = scratch.save(rows.select("id", F.array_distinct(character_shingles(F.col("text"), width)).alias("s")).dropDuplicates(["id"]), "sets")
-    both = pairs.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    sized = F.least(F.size("a"), F.size("b")) * share[1] >= F.greatest(F.size("a"), F.size("b")) * share[0]
-    good = sized & (common * share[1] >= (F.size("a") + F.size("b") - common) * share[0])
-    out = scratch.save(both.where(good).select("u", "v").distinct(), "links")
-    scratch.drop(ids, sets)
+    texts = scratch.save(rows.select("id", "text").dropDuplicates(["id"]), "texts")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (np.asarray(batch.column(c)) for c in ("u", "v"))
+            there, first, at = np.unique(np.concatenate([u, v]), return_index=True, return_inverse=True)
+            a, b = batch.column("a"), batch.column("b")
+            sets = []
+            for i in first.tolist():
+                sets.append(np.unique(character_shingles([(a[i] if i < len(u) else b[i - len(u)]).as_py()], width)[0]))
+            good = [similar_sets(sets[x], sets[y], share) for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.select("u", "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+    out = scratch.save(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long").distinct(), "links")
+    scratch.drop(ids, texts)
     return out
 
 
@@ -111,16 +138,16 @@ def line_groups(docs: DataFrame, scratch: Scratch, width: int, share: tuple[int,
         pivots *= 4
 
 
-def fuzzy_lines(docs: DataFrame, width: int = 12, share: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, broadcast_ids: int = 1_000_000) -> DataFrame:
+def fuzzy_lines(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_lines, n_removed and the remaining text of every row of ``docs``.
 
     Lines are split at newlines, lower-cased and their white space
     normalised. A line's set holds its character shingles: ``width``
-    characters from the beginning of each word on, reaching into the next
-    word. Lines link when share[1] * intersection >= share[0] * union of
-    these, confirmed on the full sets. Of each connected component, and of
-    lines equal to each other, the first by doc_id and line number stays;
-    blank lines stay where they are.
+    characters from every position on (a shorter line is one shingle). Lines
+    link when share[1] * intersection >= share[0] * union of these, confirmed
+    on the full sets. Of each connected component, and of lines equal to each
+    other, the first by doc_id and line number stays; blank lines stay where
+    they are.
 
     Candidates share one of ``bands`` buckets of ``rows`` coordinates (12 of
     4: at a similarity of 0.8 with probability 0.998). In each bucket all
