@@ -1,5 +1,7 @@
 """Fuzzy line dedup against character shingles at every position."""
 
+import random
+
 from tideline.llm import lines
 
 WIDTH = 5
@@ -14,3 +16,37 @@ def test_lines_that_share_only_their_beginning_stay(make):
     unspaced = ["今日は良い天気ですね今日は" + x for x in ("山に登って景色を眺めましょう", "海で魚をたくさん釣りました", "駅前の新しい店で本を買った")]
     rows = list(enumerate([*urls, *unspaced]))
     assert left(make, rows) == dict(rows)
+
+
+def truth(rows):
+    """Rows of one normal line each: who stays by plain Jaccard, and the number of linked pairs."""
+    sets = {i: {t[k : k + WIDTH] for k in range(max(1, len(t) - WIDTH + 1))} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    n = 0
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+                n += 1
+    return {i for i in sets if find(i) == i}, n
+
+
+def test_short_lines_with_one_typo_are_found(make):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
+    rows = []
+    for i in range(150):
+        t = " ".join(word() for _ in range(r.randint(7, 14)))
+        k = r.randrange(len(t))
+        rows += [(2 * i, t), (2 * i + 1, t[:k] + "q" + t[k + 1 :])]
+    rows += [(900, "ab"), (901, "abc"), (902, "the cat sat at the mat near the old stone bridge"), (903, "the cat sat that the mat near the old stone bridge")]
+    want, linked = truth(rows)
+    got = {i for i, t in left(make, rows).items() if t}
+    assert linked > 75 and want <= got and len(got - want) <= 2

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import U, mix
+from ._bytes import U, blocks, mix
 from ._common import SPACES, Scratch, attach, components
 from .minhash import similar_sets
 
@@ -28,17 +28,6 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.lower(F.when(odd, F.regexp_replace(line, SPACES, " ")).otherwise(line)))
 
 
-def shingle(word: Column, then: Column, width: int) -> Column:
-    """The ``width`` characters from a word's beginning on, into the next word and no further, as a hash."""
-    return F.xxhash64(F.left(F.concat_ws(" ", word, then), F.lit(width)))
-
-
-def words_of(line: Column) -> tuple[Column, Column]:
-    """A line's words, and each one's next (the last has none)."""
-    words = F.split(line, " ")
-    return words, F.slice(words, 2, 1 << 30)
-
-
 def character_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``width`` characters from every position of each line on, and where each line's begin (one more at the end).
 
@@ -56,17 +45,34 @@ def character_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.nda
     return mix(hashes[inside]), np.concatenate([[0], np.cumsum(size - width + 1)])
 
 
-def shingle_rows(lines: DataFrame, width: int) -> DataFrame:
-    """id, h: a row for each shingle of each line. Without a lambda, so that hashing is compiled."""
-    pairs = lines.select("id", F.inline(F.arrays_zip(*words_of(F.col("text")))).alias("w", "then"))
-    return pairs.select("id", shingle(F.col("w"), F.col("then"), width).alias("h"))
+def coordinates(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """``n`` MinHash coordinates (rows) for each set (columns): least values of linear functions of the hashes' high halves."""
+    high = (hashes >> U(32)).astype(np.uint32)
+    factors, shifts = np.random.default_rng(4).integers(0, 1 << 32, (2, n), np.uint32)
+    out = np.empty((n, len(starts)), np.uint32)
+    for k in range(n):
+        out[k] = np.minimum.reduceat(high * (factors[k] | np.uint32(1)) + shifts[k], starts)
+    return out
+
+
+def signatures(lines: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """id, k0, k1, ...: the bands' keys of each line's set; equal lines of a slice once."""
+    names = [f"k{b}" for b in range(bands)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, *_ in blocks(batches, limit=250_000):
+            ids, first = np.unique(np.asarray(batch.column("id")), return_index=True)
+            hashes, begin = character_shingles(batch.column("text").take(pa.array(first)).to_pylist(), width)
+            least = coordinates(hashes, begin[:-1], bands * rows)
+            keys = []
+            for b in range(bands):
+                key = np.full(len(ids), b + 1, U)
+                for c in least[b * rows : (b + 1) * rows]:
+                    key = mix(key * U(31) + c.astype(U))
+                keys.append(pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *keys], names=["id", *names])
 
-def coordinates(n: int) -> list[int]:
-    """Constants, evenly spread by their high bits: the least of hash XOR constant is a MinHash coordinate for each."""
-    low = np.random.default_rng(4).integers(0, 1 << 48, n)
-    order = np.random.default_rng(5).permutation(n)
-    return [int(np.array((int(k) << 64) // n & ~((1 << 48) - 1) | int(x), np.uint64).view(np.int64)) for k, x in zip(order, low, strict=True)]
+    return lines.select("id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ("id", *names))).dropDuplicates(["id"])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -101,11 +107,8 @@ def similar(docs: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int
 
 def line_groups(docs: DataFrame, scratch: Scratch, width: int, share: tuple[int, int], bands: int, rows: int, broadcast_ids: int) -> DataFrame:
     """node, component over the ids of lines that are similar to another one."""
-    spread = coordinates(bands * rows)
-    words = shingle_rows(lines_of(docs), width)
-    signed = words.groupBy("id").agg(*[F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{k}") for k, c in enumerate(spread)])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    keyed = scratch.save(signed.select("id", keys.alias("keys")), "signatures").select("id", F.explode("keys").alias("bucket"))
+    signed = scratch.save(signatures(lines_of(docs), width, bands, rows), "signatures")
+    keyed = signed.select("id", F.explode(F.array(*[f"k{b}" for b in range(bands)])).alias("bucket"))
     centres = keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.save(attach(keyed, centres, ["bucket"], "n", ["centre", "n"], keyed.count(), ["id"]).where("centre IS NOT NULL"), "members")
 
