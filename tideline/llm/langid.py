@@ -16,8 +16,12 @@ from pyspark.sql import types as T
 LETTER = r"\p{L}"
 
 
-def suffix_automaton(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``symbols``: a row per state, -1 where there is none. State 0 is the root."""
+#: Entries of all languages' tables together, four bytes each; transitions that have no room there are searched for.
+ENTRIES = 1 << 26
+
+
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of ``symbols``, by state. State 0 is the root."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -43,11 +47,7 @@ def suffix_automaton(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = clone
         last = now
-    table = np.full((len(go), n_symbols), -1, np.int32)
-    for s, edges in enumerate(go):
-        for c, t in edges.items():
-            table[s, c] = t
-    return table
+    return go
 
 
 class CrossParser:
@@ -56,41 +56,70 @@ class CrossParser:
     A text is parsed from left to right into phrases, each the longest prefix
     of what is left that occurs in the language's text: the automaton is
     followed until it has no transition. Texts are lower-cased, characters
-    other than letters become one blank, and characters outside the alphabet
-    of the samples match nothing. Transitions are completed beforehand (a
-    missing one ends the phrase and starts the next at the same character), so
-    a step is one look-up for many texts at a time. Parsing starts anew every
-    ``piece`` characters, in all languages alike.
+    other than letters become one blank. Every letter of the samples has its
+    own symbol, and letters that no sample has match nothing. Transitions of
+    the most frequent symbols are completed beforehand (a missing one ends the
+    phrase and starts the next at the same character), so a step is one
+    look-up for many texts at a time; those of other symbols, if there are
+    more than ``dense``, are searched for in a sorted list. Parsing starts
+    anew every ``piece`` characters, in all languages alike.
     """
 
-    def __init__(self, samples: dict[str, str], piece: int = 1024, alphabet: int = 62):
+    def __init__(self, samples: dict[str, str], piece: int = 1024, dense: int = 64):
         self.langs, self.piece = sorted(samples), piece
-        seen = Counter()
+        seen: Counter = Counter()
         for t in samples.values():
-            seen.update(set(self.clean(t)))
-        kept = sorted(c for c, _ in Counter({c: sum(t.lower().count(c) for t in samples.values()) for c in seen}).most_common(alphabet))
-        #: 0 is the blank, the last symbol stands for all other characters.
-        self.lut = np.full(0x10000, len(kept) + 1, np.uint8)
-        for i, c in enumerate([c for c in kept if c != " "], 1):
+            seen.update(self.clean(t).replace(" ", ""))
+        kept = sorted(seen, key=lambda c: (-seen[c], c))
+        #: 0 is the blank, then letters by frequency; the last symbol stands for all characters that no sample has.
+        self.n = len(kept) + 2
+        self.lut = np.full(0x110000, self.n - 1, np.min_scalar_type(self.n))
+        for i, c in enumerate(kept, 1):
             self.lut[ord(c)] = i
         self.lut[32] = 0
-        self.n = len(kept) + 2
-        self.tables = [self.completed(suffix_automaton(self.symbols(samples[x]), self.n)) for x in self.langs]
+        automata = [suffix_automaton(self.symbols(samples[x])) for x in self.langs]
+        #: Columns of a table. Where there are fewer than symbols, the last one stands for those that are searched for.
+        self.dense = min(self.n, max(1, min(dense, ENTRIES // max(sum(map(len, automata)), 1))))
+        self.rare = self.dense - 1 if self.dense < self.n else self.n
+        self.tables, self.sparse = [], []
+        for go in automata:
+            table, sparse = self.completed(go)
+            self.tables.append(table)
+            self.sparse.append(sparse)
 
     @staticmethod
     def clean(text: str) -> str:
         return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
     def symbols(self, text: str) -> np.ndarray:
-        codes = np.frombuffer(self.clean(text).encode("utf-32-le"), np.uint32)
-        return np.where(codes < 0x10000, self.lut[np.minimum(codes, 0xFFFF)], self.n - 1)
-
-    def completed(self, go: np.ndarray) -> np.ndarray:
-        """Entries are 2 * (state * symbols), and 1 more if a phrase begins there; state 0 has none in progress."""
-        begin = np.where(go[0] >= 0, go[0], 0) * (2 * self.n) + 1
-        table = np.where(go >= 0, go * (2 * self.n), begin)
-        table[0] = begin
-        return table.astype(np.int32).ravel()
+        return self.lut[np.frombuffer(self.clean(text).encode("utf-32-le"), np.uint32)]
+
+    def completed(self, go: list[dict[int, int]]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The table, and for rare symbols sorted keys (state * symbols + symbol), their entries, and the entries that begin a phrase.
+
+        Entries are 2 * (state * columns), and 1 more if a phrase begins there; state 0 has none in progress.
+        """
+        edges = np.array([(s, c, t) for s, out in enumerate(go) for c, t in out.items()], np.int64).reshape(-1, 3)
+        begin = np.ones(self.n, np.int32)
+        root = edges[edges[:, 0] == 0]
+        begin[root[:, 1]] += (root[:, 2] * (2 * self.dense)).astype(np.int32)
+        table = np.tile(begin[: self.dense], (len(go), 1))
+        inner = edges[edges[:, 0] > 0]
+        entry = (inner[:, 2] * (2 * self.dense)).astype(np.int32)
+        few = inner[:, 1] >= self.rare
+        table[inner[~few, 0], inner[~few, 1]] = entry[~few]
+        keys = inner[few, 0] * self.n + inner[few, 1]
+        order = np.argsort(keys)
+        return table.ravel(), (keys[order], entry[few][order], begin)
+
+    def searched(self, sparse: tuple[np.ndarray, np.ndarray, np.ndarray], state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Entries of rare symbols after ``state`` (as in the entries)."""
+        keys, entry, begin = sparse
+        if not len(keys):
+            return begin[symbol]
+        key = state.astype(np.int64) // (2 * self.dense) * self.n + symbol
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, entry[at], begin[symbol])
 
     def parse(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and the symbols parsed. codes: all texts' symbols; starts: one more at the end."""
@@ -110,8 +139,13 @@ class CrossParser:
         counts = [np.zeros(len(begin), np.int32) for _ in self.langs]
         for i, n in enumerate(alive.tolist()):
             c = padded[begin[:n] + i].astype(np.int32)
-            for table, state, count in zip(self.tables, states, counts, strict=True):
+            rare = np.flatnonzero(c >= self.rare)
+            symbol = c[rare]
+            c[rare] = self.dense - 1
+            for table, sparse, state, count in zip(self.tables, self.sparse, states, counts, strict=True):
                 got = table[(state[:n] >> 1) + c]
+                if len(rare):
+                    got[rare] = self.searched(sparse, state[:n][rare], symbol)
                 count[:n] += got & 1
                 state[:n] = got & -2
         for k, count in enumerate(counts):
@@ -128,7 +162,7 @@ class CrossParser:
         keep = ~blank
         keep[1:] |= blank[1:] & ~blank[:-1]
         keep[ends] = False
-        symbols = np.where(codes < 0x10000, self.lut[np.minimum(codes, 0xFFFF)], self.n - 1)
+        symbols = self.lut[codes]
         symbols[blank] = 0
         kept = np.concatenate([[0], np.cumsum(keep)])
         starts = np.concatenate([[0], kept[ends + 1]])
