@@ -36,3 +36,14 @@ def test_every_letter_of_the_samples_has_its_own_symbol(dense):
     # the same words in another order, and the same blanks in both languages
     two = langid.CrossParser({"a": script(1, 0x4E00, 900), "b": script(1, 0x6E00, 900)}, dense=dense)
     assert two.predict([script(1, 0x4E00, 900)[500:], script(1, 0x6E00, 900)[500:]])[0] == ["a", "b"]
+
+
+def test_every_label_is_learned(make):
+    r = random.Random(5)
+    rows = []
+    for k in range(70):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [(10 * k + i, " ".join(r.choice(words) for _ in range(30)), f"l{k:02d}") for i in range(2 if k < 66 else 1)]
+    docs = make(rows)
+    got = {x.doc_id: x.lang_pred for x in langid.identify(docs, langid.train(docs)).collect()}
+    assert got == {i: lang for i, _, lang in rows}

@@ -187,15 +187,14 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def sample_texts(docs: DataFrame, usable: Column, budget: int, rows: int, languages: int) -> dict[str, str]:
-    """Up to ``budget`` letters and blanks of each of the ``languages`` most frequent labels, from at most ``rows`` documents a label.
+def sample_texts(docs: DataFrame, usable: Column, budget: int, rows: int) -> dict[str, str]:
+    """Up to ``budget`` letters and blanks of every label, from at most ``rows`` documents a label.
 
     Documents are taken in the order of a hash of their text and doc_id.
     """
     rowed = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    kept = [r[0] for r in rowed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id")
-    ids = rowed.where(F.col("lang").isin(kept)).select("lang", "doc_id", F.xxhash64("text").alias("__h"), F.row_number().over(order).alias("__r")).where(F.col("__r") <= rows)
+    ids = rowed.select("lang", "doc_id", F.xxhash64("text").alias("__h"), F.row_number().over(order).alias("__r")).where(F.col("__r") <= rows)
     picked = rowed.withColumn("__h", F.xxhash64("text")).join(F.broadcast(ids), ["lang", "doc_id", "__h"])
     out: dict[str, list[str]] = {}
     size: Counter = Counter()
@@ -207,13 +206,13 @@ def sample_texts(docs: DataFrame, usable: Column, budget: int, rows: int, langua
     return {k: " ".join(v) for k, v in out.items()}
 
 
-def train(docs: DataFrame, usable: Column | None = None, budget: int = 24_000, rows: int = 64, languages: int = 64) -> CrossParser:
+def train(docs: DataFrame, usable: Column | None = None, budget: int = 24_000, rows: int = 64) -> CrossParser:
     """Suffix automata of a sample of the labelled rows for which ``usable`` holds.
 
-    The sample's bounds are parameters: ``budget`` characters of each of at
-    most ``languages`` labels, from ``rows`` documents each.
+    The sample's bounds are parameters: ``budget`` characters of each label,
+    from ``rows`` documents each. Every label is learned.
     """
-    return CrossParser(sample_texts(docs, F.lit(True) if usable is None else usable, budget, rows, languages))
+    return CrossParser(sample_texts(docs, F.lit(True) if usable is None else usable, budget, rows))
 
 
 def identify(docs: DataFrame, model: CrossParser, carry: list[str] | None = None) -> DataFrame:
