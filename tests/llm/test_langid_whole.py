@@ -47,3 +47,20 @@ def test_every_label_is_learned(make):
     docs = make(rows)
     got = {x.doc_id: x.lang_pred for x in langid.identify(docs, langid.train(docs)).collect()}
     assert got == {i: lang for i, _, lang in rows}
+
+
+def test_languages_are_ranked_by_entropy():
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    samples = {"long": text(8000), "short": text(150)}
+    p = langid.CrossParser(samples, piece=10_000)
+    turned = 0
+    for _ in range(60):
+        k = r.randrange(100)
+        t = samples["short"][k : k + 12] + text(r.randint(10, 40))
+        symbols = p.symbols(t)
+        counts, size = p.parse(symbols, np.array([0, len(symbols)]))
+        coded = [langid.entropy(n, size[0], len(samples[k])) for n, k in zip(counts[0].tolist(), p.langs, strict=True)]
+        assert p.predict([t])[0] == [p.langs[int(np.argmin(coded))]]
+        turned += int(np.argmin(coded)) != int(np.argmin(counts[0]))
+    assert turned

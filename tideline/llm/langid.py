@@ -77,6 +77,8 @@ class CrossParser:
         for i, c in enumerate(kept, 1):
             self.lut[ord(c)] = i
         self.lut[32] = 0
+        #: Bits of a phrase: a place in the language's text.
+        self.bits = np.array([entropy(1, 1, len(self.clean(samples[x]))) for x in self.langs])
         automata = [suffix_automaton(self.symbols(samples[x])) for x in self.langs]
         #: Columns of a table. Where there are fewer than symbols, the last one stands for those that are searched for.
         self.dense = min(self.n, max(1, min(dense, ENTRIES // max(sum(map(len, automata)), 1))))
@@ -153,7 +155,7 @@ class CrossParser:
         return out, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str | None], np.ndarray]:
-        """The language with the fewest phrases (of equals the first by name), and how far the next is behind: 0 to 1."""
+        """The language with the least entropy (of equals the first by name), and how far the next is behind: 0 to 1."""
         joined = "\n".join((t or "").lower().replace("\n", " ") for t in texts) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         ends = np.flatnonzero(codes == 10)
@@ -169,12 +171,12 @@ class CrossParser:
         counts, _ = self.parse(symbols[keep], starts)
         if len(self.langs) == 0:
             return [None] * len(texts), np.zeros(len(texts))
-        best = counts.argmin(1)
-        least = np.maximum(counts.min(1), 1)
+        coded = counts * self.bits
+        best = coded.argmin(1)
         if len(self.langs) == 1:
             return [self.langs[0]] * len(texts), np.ones(len(texts))
-        second = np.partition(counts, 1, 1)[:, 1]
-        return [self.langs[i] for i in best], np.clip(1 - least / np.maximum(second, 1), 0.0, 1.0)
+        least, second = np.partition(np.maximum(coded, 1), 1, 1)[:, :2].T
+        return [self.langs[i] for i in best], np.clip(1 - least / second, 0.0, 1.0)
 
 
 _letters: list[np.ndarray] = []
@@ -218,10 +220,10 @@ def train(docs: DataFrame, usable: Column | None = None, budget: int = 24_000, r
 def identify(docs: DataFrame, model: CrossParser, carry: list[str] | None = None) -> DataFrame:
     """doc_id, the ``carry`` columns, lang_pred and score for every row of ``docs``.
 
-    Whole texts are parsed against each language; the language that needs the
-    fewest phrases wins (phrases of all languages are normalised by the same
-    text length, which leaves their order as it is). score is 1 less the ratio
-    of the winner's phrases to the next one's. ``und`` with score 0: null text,
+    Whole texts are parsed against each language; the language with the least
+    entropy wins: phrases times the bits of a place in its sample (the text's
+    length is the same for all and leaves their order as it is). score is 1
+    less the ratio of the winner's entropy to the next one's. ``und`` with score 0: null text,
     text without a letter, or a model without languages. Repeated rows get
     equal answers; other columns are left out; an empty table gives no rows.
     """
