@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from tideline.llm._common import Scratch, components
+from pyspark.sql import functions as F
+
+from tideline.llm._common import Scratch, attach, components
 
 
 @pytest.mark.parametrize("kind", ["none", "path", "random", "star", "cycle"])
@@ -29,3 +31,22 @@ def test_components(spark, kind):
     got = {n: c for n, c in out}
     assert len(got) == len(out)
     assert {n: got.get(n, n) for n in root} == {n: find(n) for n in root}
+
+
+def test_attach_deals_a_hot_key_out(spark):
+    """Half of the rows have one key; no task of the shuffled join reads twice the mean."""
+    n, parts = 40_000, 8
+    rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, v in zip(before, ("false", str(parts), "-1"), strict=True):
+            spark.conf.set(c, v)
+        out = attach(rows, groups, ["k"], "n", ["m"], n, ["v"])
+        assert "__salt" in str(out._jdf.queryExecution().executedPlan()).split("SortMergeJoin", 1)[1].split("\n", 1)[0]
+        sizes = out.groupBy(F.spark_partition_id()).agg(F.count("m").alias("n")).collect()
+        assert len(sizes) == parts and max(x["n"] for x in sizes) < 2 * n / parts
+        assert out.where("m <> CASE WHEN k = -1 THEN 0 ELSE k END").count() == 0
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)

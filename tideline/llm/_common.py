@@ -90,20 +90,21 @@ def attach(rows: DataFrame, groups: DataFrame, key: list[str], size: str, values
     A key that holds over a thousandth of ``n_rows`` is heavy; there can be a
     thousand of those at most, so their rows are broadcast. All other keys
     meet in a shuffle, where none is large; rows with a heavy key are dealt
-    out by ``spread`` there and match nothing.
+    out there by a salt made of ``spread`` and match nothing.
     """
     if n_rows < 1000:
         return rows.join(groups.select(*key, *values), key, "left")
     heavy = groups.where(F.col(size) * 1000 > F.lit(n_rows))
+    zero = F.shiftrightunsigned(F.col(size).cast("long"), 63)  # not a literal: Catalyst would drop it from the join's keys
     hot = heavy.select(*key, *[F.col(v).alias(f"__hot_{v}") for v in values], F.lit(1).alias("__hot"))
-    cold = groups.where(F.col(size) * 1000 <= F.lit(n_rows)).select(*key, *[F.col(v).alias(f"__cold_{v}") for v in values], F.lit(0).cast("long").alias("__salt"))
+    cold = groups.where(F.col(size) * 1000 <= F.lit(n_rows)).select(*key, *[F.col(v).alias(f"__cold_{v}") for v in values], zero.alias("__salt"))
     salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.shiftrightunsigned(F.xxhash64(*spread), 1) + 1).cast("long")
     joined = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).join(cold, [*key, "__salt"], "left")
     return joined.select(*rows.columns, *[F.coalesce(f"__hot_{v}", f"__cold_{v}").alias(v) for v in values])
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFrame:
-    """Connected components of ``edges`` (u, v long): node, component for each node of an edge.
+    """Connected components of ``edges`` (u, v long): node, component for each node that isn't its component's smallest.
 
     Alternating large-star and small-star rounds over DataFrames. Each round
     leaves one table in the shared folder and sends the driver three numbers.
