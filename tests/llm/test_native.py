@@ -121,14 +121,12 @@ def test_mixed_corpus_follows_the_schedules(make):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def line_truth(rows, width=12):
+def line_truth(rows, width=5):
+    """Plain Jaccard over the characters from every position on."""
     norm = lambda s: re.sub(r"[\x20\x09-\x0D]+", " ", s).lower().strip(" ")
     occurrences = [(i, k, norm(x)) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
     texts = sorted({x for *_, x in occurrences if x})
-
-    def shingles(x):
-        w = x.split(" ")
-        return {(a + (" " + b if b is not None else ""))[:width] for a, b in zip(w, [*w[1:], None], strict=True)}
+    shingles = lambda x: {x[k : k + width] for k in range(max(1, len(x) - width + 1))}
 
     sets, parent = {x: shingles(x) for x in texts}, {x: x for x in texts}
 
@@ -151,6 +149,7 @@ def line_truth(rows, width=12):
 def test_fuzzy_lines(make, corpus):
     rows = [(i, "\n".join(t[k : k + 90] for k in range(0, len(t), 90)) if t and i % 2 else t) for i, t in corpus if i != 108]
     rows += [(200 + i, f"The same opening line with many words in it number {i}\n\nown {i}") for i in range(40)]
-    got = {r.doc_id: r.text for r in lines.fuzzy_lines(make(rows)).collect()}
-    assert got == line_truth(rows)
+    for how in ({}, {"broadcast_ids": 0, "pivots": 2}):
+        got = {r.doc_id: r.text for r in lines.fuzzy_lines(make(rows), **how).collect()}
+        assert got == line_truth(rows)
     assert lines.fuzzy_lines(make(rows).limit(0)).count() == 0

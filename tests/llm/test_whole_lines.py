@@ -50,3 +50,37 @@ def test_short_lines_with_one_typo_are_found(make):
     want, linked = truth(rows)
     got = {i for i, t in left(make, rows).items() if t}
     assert linked > 75 and want <= got and len(got - want) <= 2
+
+
+def test_lines_of_few_or_repeated_characters(make):
+    rows = list(enumerate(["aaaaaa", "a" * 1000, "ab" * 30, "ab" * 300, "é", "E", "x" * 70_000 + "y", "internationally", "internationalization", "abcdefghijkl", "abcdefghijkm", "😀😀😀😀😀😀", "😀" * 40, "\t\x0b", "\u3000"]))
+    got = {i for i, t in left(make, rows).items() if t}
+    assert got == {0, 2, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14}
+
+
+def test_null_ids_and_repeated_rows(make):
+    rows = [(None, "one line that comes last\n\nnull only"), (3, "One  line that comes LAST"), (3, "One  line that comes LAST"), (4, None), (5, "")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_lines, r.n_removed, r.text) for r in lines.fuzzy_lines(make(rows)).collect())
+    assert got == [(False, 3, 1, 0, rows[1][1]), (False, 3, 1, 0, rows[1][1]), (False, 4, 1, 0, ""), (False, 5, 1, 0, ""), (True, 0, 3, 1, "\nnull only")]
+
+
+def test_no_python_on_the_main_path(make, spark):
+    plan = lines.fuzzy_lines(make([(i, f"line {i} of the text") for i in range(50)]))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_recall_of_similar_pairs(spark, make):
+    """Pairs at a similarity of 0.8 to 0.95, none of them alike otherwise."""
+    r = random.Random(11)
+    rows = []
+    for i in range(700):
+        t = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(r.randint(8, 400))).strip() + "z"
+        t = " ".join(t.split())
+        u = list(t)
+        for _ in range(r.randint(1, max(1, len(t) // 45))):
+            u[r.randrange(len(u))] = r.choice("QXYZ")
+        rows += [(2 * i, t), (2 * i + 1, "".join(u))]
+    sets = {i: {t.lower()[k : k + WIDTH] for k in range(max(1, len(t) - WIDTH + 1))} for i, t in rows}
+    linked = {2 * i + 1 for i in range(700) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
+    gone = {i for i, t in left(make, rows).items() if not t}
+    assert len(linked) > 300 and gone <= linked and len(gone) >= 0.98 * len(linked)

@@ -1,20 +1,19 @@
-"""Fuzzy line dedup by MinHash over character shingles at every position."""
+"""Fuzzy line dedup by MinHash over character shingles at every position, in DataFrame functions only."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U, blocks, mix
 from ._common import SPACES, Scratch, attach, components
-from .minhash import similar_sets
 
 LAST = (1 << 63) - 1  # stands for a null doc_id: no document is larger
-BANDS, ROWS = 12, 4
+#: Coordinates of a signature, and rows of a band; there are two bands for each ROWS coordinates.
+COORDINATES, ROWS = 40, 5
+#: Signatures with fewer filled coordinates also come from one permutation for each coordinate; those with fewer than ENOUGH only.
+SPARSE, ENOUGH = 30, 20
 
 
 def normal_line(line: Column) -> Column:
@@ -28,120 +27,138 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.lower(F.when(odd, F.regexp_replace(line, SPACES, " ")).otherwise(line)))
 
 
-def character_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``width`` characters from every position of each line on, and where each line's begin (one more at the end).
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """id, doc, line, text: every normalised line that isn't blank once, and where it stands first.
 
-    A shorter line is one shingle, filled up with newlines, which no line holds.
+    Lines are one if two hashes of 64 bits agree.
     """
-    size = np.fromiter((max(len(x), width) for x in lines), np.int64, len(lines))
-    codes = np.frombuffer("".join(x.ljust(width, "\n") for x in lines).encode("utf-32-le"), np.uint32).astype(U)
-    hashes = np.zeros(max(len(codes) - width + 1, 0), U)
-    for j in range(width):
-        hashes += codes[j : j + len(hashes)] * U(pow(0xA0761D6478BD642F, j + 1, 1 << 64))
-    inside = np.ones(len(hashes), bool)
-    ends = np.cumsum(size)[:-1]
-    for j in range(1, width):
-        inside[ends - j] = False
-    return mix(hashes[inside]), np.concatenate([[0], np.cumsum(size - width + 1)])
-
-
-def coordinates(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """``n`` MinHash coordinates (rows) for each set (columns): least values of linear functions of the hashes' high halves."""
-    high = (hashes >> U(32)).astype(np.uint32)
-    factors, shifts = np.random.default_rng(4).integers(0, 1 << 32, (2, n), np.uint32)
-    out = np.empty((n, len(starts)), np.uint32)
-    for k in range(n):
-        out[k] = np.minimum.reduceat(high * (factors[k] | np.uint32(1)) + shifts[k], starts)
-    return out
+    split = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
+    rows = split.select("doc", "line", normal_line(F.col("raw")).alias("text")).where("text <> ''")
+    keyed = rows.select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.struct("doc", "line").alias("at"), "text")
+    firsts = keyed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("text").alias("text"))
+    return firsts.select(F.monotonically_increasing_id().alias("id"), "at.doc", "at.line", "text")
 
 
-def signatures(lines: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """id, k0, k1, ...: the bands' keys of each line's set; equal lines of a slice once."""
-    names = [f"k{b}" for b in range(bands)]
+def shingles(lines: DataFrame, width: int) -> DataFrame:
+    """The other columns of ``lines`` and h: a row for each run of ``width`` characters of text; a shorter text is one run.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, *_ in blocks(batches, limit=250_000):
-            ids, first = np.unique(np.asarray(batch.column("id")), return_index=True)
-            hashes, begin = character_shingles(batch.column("text").take(pa.array(first)).to_pylist(), width)
-            least = coordinates(hashes, begin[:-1], bands * rows)
-            keys = []
-            for b in range(bands):
-                key = np.full(len(ids), b + 1, U)
-                for c in least[b * rows : (b + 1) * rows]:
-                    key = mix(key * U(31) + c.astype(U))
-                keys.append(pa.array(key.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *keys], names=["id", *names])
+    Texts are coded in four bytes a character, so that a shingle is a slice at a known place.
+    """
+    rest = [c for c in lines.columns if c != "text"]
+    n = F.greatest(F.char_length("text") - (width - 1), F.lit(1))
+    sized = lines.select(*rest, F.encode("text", "UTF-32").alias("__codes"), n.alias("__n"))
+    placed = sized.select(*rest, "__codes", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__at"))
+    return placed.select(*rest, F.xxhash64(F.substring("__codes", F.col("__at") * 4 + 1, F.lit(4 * width))).alias("h"))
 
-    return lines.select("id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ("id", *names))).dropDuplicates(["id"])
 
+def signatures(lines: DataFrame, width: int, permutations: int) -> DataFrame:
+    """id, filled, keys (of the bands, null if hardly filled) and sketch (8 bits of each coordinate) of each line's set.
+
+    One permutation: every shingle goes to the coordinate that its hash names,
+    which takes the least hash; a coordinate may stay empty. With a
+    permutation for each coordinate, none does.
+    """
+    hashed = shingles(lines.select("id", "text").repartition("id"), width)
+    if permutations > 1:
+        many = hashed.distinct().select("id", "h", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k"))
+        least = many.select("id", "k", F.shiftrightunsigned(F.xxhash64("h", "k"), 33).cast("int").alias("m"))
+    else:
+        least = hashed.select("id", F.shiftright(F.col("h").bitwiseAND((1 << 31) - 1) * COORDINATES, 31).cast("int").alias("k"), F.shiftrightunsigned("h", 33).cast("int").alias("m"))
+    least = least.groupBy("id", "k").agg(F.min("m").alias("m"))
+    # -1 stands for an empty coordinate.
+    whole = least.groupBy("id").agg(*[F.max(F.when(F.col("k") == k, F.col("m")).otherwise(-1)).alias(f"m{k}") for k in range(COORDINATES)], F.count(F.lit(1)).cast("int").alias("filled"))
+    blocks = COORDINATES // ROWS
+    crossed = [k for b in range(blocks) for k in range(b, COORDINATES, blocks)]
+    whole = whole.select("id", "filled", F.array(*[f"m{k}" for k in range(COORDINATES)]).alias("m"), F.array(*[f"m{k}" for k in crossed]).alias("x"))
+    keys = []
+    for b in range(2 * blocks):
+        band = F.slice(F.col("x" if b >= blocks else "m"), b % blocks * ROWS + 1, ROWS)
+        keys.append(F.when(F.size(F.array_remove(band, -1)) > ROWS // 2, F.xxhash64(F.lit(b + 100 * permutations), band)))
+    sketch = [F.aggregate(F.slice("m", j + 1, 8), F.lit(0).cast("long"), lambda s, m: F.shiftleft(s, 8).bitwiseOR(m.bitwiseAND(255).cast("long"))).alias(f"s{j // 8}") for j in range(0, COORDINATES, 8)]
+    return whole.select("id", F.lit(permutations).alias("kind"), "filled", F.array(*keys).alias("keys"), F.struct(*sketch).alias("sketch"))
+
+
+def unequal(x: Column, y: Column) -> Column:
+    """In how many of their bytes two sketches differ."""
+    out = F.lit(0)
+    for j in range(COORDINATES // 8):
+        d = x[f"s{j}"].bitwiseXOR(y[f"s{j}"])
+        for by, low in ((4, 0x0F), (2, 0x03), (1, 0x01)):  # the lowest bit of each byte becomes the OR of its bits
+            d = d.bitwiseOR(F.shiftrightunsigned(d, by)).bitwiseAND(F.lit(sum(low << 8 * i for i in range(8))))
+        out = out + F.bit_count(d)
+    return out
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc, line, text, id of all lines that aren't blank; id is a hash (64 bits) of the normalised line."""
-    split = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
-    return split.select("doc", "line", normal_line(F.col("raw")).alias("text")).where("text <> ''").withColumn("id", F.xxhash64("text"))
 
+def few_or_all(table: DataFrame, limit: int) -> DataFrame:
+    """``table`` to be broadcast if it has at most ``limit`` rows, else as it is."""
+    return F.broadcast(table) if table.count() <= limit else table
 
-def similar(docs: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int], scratch: Scratch, broadcast_ids: int) -> DataFrame:
+
+def similar(lines: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int], scratch: Scratch, broadcast_ids: int) -> DataFrame:
     """The (u, v) whose full shingle sets have share[1] * intersection >= share[0] * union."""
     ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
-    few = ids.count() <= broadcast_ids
-    rows = lines_of(docs).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    texts = scratch.save(rows.select("id", "text").dropDuplicates(["id"]), "texts")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v = (np.asarray(batch.column(c)) for c in ("u", "v"))
-            there, first, at = np.unique(np.concatenate([u, v]), return_index=True, return_inverse=True)
-            a, b = batch.column("a"), batch.column("b")
-            sets = []
-            for i in first.tolist():
-                sets.append(np.unique(character_shingles([(a[i] if i < len(u) else b[i - len(u)]).as_py()], width)[0]))
-            good = [similar_sets(sets[x], sets[y], share) for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
+    texts = scratch.save(lines.select("id", "text").join(few_or_all(ids, broadcast_ids), "id", "left_semi"), "texts")
     both = pairs.select("u", "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    out = scratch.save(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long").distinct(), "links")
+    both = both.repartition("u", "v").select("u", "v", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("text")), F.struct(F.lit(2).alias("side"), F.col("b").alias("text")))).alias("s"))
+    members = shingles(both.select("u", "v", "s.side", "s.text"), width).groupBy("u", "v", "h").agg(F.bit_or("side").alias("side"))
+    counted = members.groupBy("u", "v").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("side") == 3).alias("shared"))
+    out = scratch.save(counted.where(F.col("shared") * share[1] >= F.col("all") * share[0]).select("u", "v"), "links")
     scratch.drop(ids, texts)
     return out
 
 
-def line_groups(docs: DataFrame, scratch: Scratch, width: int, share: tuple[int, int], bands: int, rows: int, broadcast_ids: int) -> DataFrame:
+def line_groups(lines: DataFrame, scratch: Scratch, width: int, share: tuple[int, int], broadcast_ids: int, pivots: int) -> DataFrame:
     """node, component over the ids of lines that are similar to another one."""
-    signed = scratch.save(signatures(lines_of(docs), width, bands, rows), "signatures")
-    keyed = signed.select("id", F.explode(F.array(*[f"k{b}" for b in range(bands)])).alias("bucket"))
-    centres = keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = scratch.save(attach(keyed, centres, ["bucket"], "n", ["centre", "n"], keyed.count(), ["id"]).where("centre IS NOT NULL"), "members")
-
-    tested = scratch.save(members.where("id <> centre").select(F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v")).distinct(), "pairs")
-    links = similar(docs, tested, width, share, scratch, broadcast_ids)
-    pivots = 32
+    one = scratch.save(signatures(lines, width, 1), "signatures")
+    sparse = few_or_all(one.where(F.col("filled") < SPARSE).select("id"), broadcast_ids)
+    full = scratch.save(signatures(lines.join(sparse, "id", "left_semi"), width, COORDINATES), "signatures")
+    signed = one.where(F.col("filled") >= ENOUGH).unionByName(full)
+
+    keyed = signed.select("id", "kind", F.explode("keys").alias("bucket")).where("bucket IS NOT NULL")
+    buckets = scratch.save(keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("top"), F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    large = buckets.where("n > 2").select("bucket", "centre", "n")
+    if (many := large.count()) <= broadcast_ids:
+        members = keyed.join(F.broadcast(large), "bucket")
+    else:
+        members = attach(keyed, large, ["bucket"], "n", ["centre", "n"], max(many, keyed.count()), ["id"]).where("centre IS NOT NULL")
+    sketches = signed.select("id", "kind", "sketch")
+    members = scratch.save(members.where("id <> centre").join(sketches, ["id", "kind"]), "members")
+
+    most = int(COORDINATES * (1 - share[0] / share[1]) + 4 * (COORDINATES * share[0] / share[1] * (1 - share[0] / share[1])) ** 0.5)
+    near = unequal(F.col("x"), F.col("y")) <= most
+    pairs = buckets.where("n = 2").select(F.col("top").alias("u"), F.col("centre").alias("v"), "kind").unionByName(members.select(F.col("id").alias("u"), F.col("centre").alias("v"), "kind")).distinct()
+    pairs = pairs.join(sketches.select(F.col("id").alias("u"), "kind", F.col("sketch").alias("x")), ["u", "kind"]).join(sketches.select(F.col("id").alias("v"), "kind", F.col("sketch").alias("y")), ["v", "kind"])
+    pairs = scratch.save(pairs.where(near).select("u", "v").distinct(), "pairs")
+    links, tested = similar(lines, pairs, width, share, scratch, broadcast_ids), pairs
+
+    turn = 0
     while True:
         stars = components(links, scratch)
-        labelled = members.join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        labelled = scratch.save(labelled.where("id <> centre").select("bucket", "id", "component", "n"), "labelled")
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = scratch.save(labelled.join(mixed, "bucket"), "open")
-        most = open_.agg(F.max("n")).first()[0]
-        if not most:
+        # What is left: members of one bucket in different components. Pivots of each such bucket are compared with all others of it.
+        labelled = members.select("bucket", "id", "sketch").join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labelled = scratch.save(labelled, "labelled")
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("bucket", "m")
+        open_ = scratch.save(labelled.join(few_or_all(mixed, broadcast_ids), "bucket"), "open")
+        scratch.drop(labelled)
+        largest = open_.agg(F.max("m")).first()[0]
+        if not largest:
             return stars
-        first = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        pivot = open_.withColumn("__r", first).where(F.col("__r") <= pivots).select("bucket", F.col("id").alias("p"), F.col("component").alias("c"))
-        fresh = open_.join(pivot, "bucket").where("c <> component").select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct()
-        fresh = scratch.save(fresh.join(tested, ["u", "v"], "left_anti"), "pairs")
-        if not fresh.limit(1).count():
-            if pivots >= most:
-                return stars
-        else:
-            more = similar(docs, fresh, width, share, scratch, broadcast_ids)
-            tested = tested.unionByName(fresh)
-            links = scratch.save(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
-            if pivots >= most:
-                return components(links, scratch)
-        scratch.drop(labelled, open_)
-        pivots *= 4
-
-
-def fuzzy_lines(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, broadcast_ids: int = 1_000_000) -> DataFrame:
+        each = pivots ** (turn + 1)
+        chosen = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.floor(F.col("m") / each), F.lit(1))) == 0
+        pivot = open_.where(chosen).select("bucket", F.col("id").alias("p"), F.col("component").alias("c"), F.col("sketch").alias("y"))
+        fresh = open_.withColumnRenamed("sketch", "x").join(pivot, "bucket").where((F.col("c") != F.col("component")) & near)
+        fresh = fresh.select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+        fresh = scratch.save(fresh, "pairs")
+        more = similar(lines, fresh, width, share, scratch, broadcast_ids)
+        tested = tested.unionByName(fresh)
+        scratch.drop(open_)
+        links = scratch.save(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
+        if each >= largest:
+            return components(links, scratch)
+        turn += 1
+
+
+def fuzzy_lines(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), broadcast_ids: int = 1_000_000, pivots: int = 16) -> DataFrame:
     """doc_id, n_lines, n_removed and the remaining text of every row of ``docs``.
 
     Lines are split at newlines, lower-cased and their white space
@@ -152,26 +169,33 @@ def fuzzy_lines(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 1
     other, the first by doc_id and line number stays; blank lines stay where
     they are.
 
-    Candidates share one of ``bands`` buckets of ``rows`` coordinates (12 of
-    4: at a similarity of 0.8 with probability 0.998). In each bucket all
-    lines are compared with the smallest; as long as a bucket holds lines of
-    different components, more pivots follow, four times as many each round,
-    until all have been compared. Equal lines are one from the first
+    Signatures have 40 coordinates from one permutation, or from one each for
+    lines of few shingles. Candidates share one of 16 bands of 5 coordinates,
+    two ways of cutting 40 into fives (at a similarity of 0.8 with
+    probability 0.993, at 0.85 with 0.999), and a sketch of all coordinates that is within four
+    standard errors of the threshold. In each bucket all lines are compared
+    with the smallest; where a bucket holds lines of different components,
+    about ``pivots`` lines are drawn and compared with all others, ``pivots``
+    times as many each round, until all have been. Equal lines are one from the first
     aggregation on, so a line that fills a third of the corpus costs no more
-    than another.
+    than another. Tables of at most ``broadcast_ids`` rows of a few numbers
+    are broadcast, others are shuffled.
 
     Null texts count as empty (one blank line). Null doc_ids come last; rows
     that repeat a doc_id are one document listed again and share decisions.
     Other columns are left out; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    stars = line_groups(docs, scratch, width, share, bands, rows, broadcast_ids)
-    firsts = lines_of(docs).groupBy("id").agg(F.min(F.struct("doc", "line")).alias("at"))
-    firsts = firsts.join(stars.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("at").alias("at"))
-    kept = firsts.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list("at.line").alias("keep"))
-    rows_ = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).join(kept, "doc", "left")
-    keep = F.coalesce("keep", F.array().cast("array<int>"))
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: (normal_line(x) == "") | F.array_contains(keep, i))
-    out = rows_.select("doc_id", F.size(lines).cast("long").alias("n_lines"), left.alias("left"))
+    lines = scratch.save(distinct_lines(docs), "lines")
+    stars = line_groups(lines, scratch, width, share, broadcast_ids, pivots)
+    stars = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    labelled = lines.select("id", "doc", "line").join(stars.withColumnRenamed("node", "id"), "id", "left")
+    alone = labelled.where("component IS NULL").select("doc", "line")
+    firsts = labelled.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc", "line")).alias("at")).select("at.doc", "at.line")
+    kept = scratch.save(alone.unionByName(firsts).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("keep")), "kept")
+    whole = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.split(F.coalesce("text", F.lit("")), "\n").alias("all"))
+    whole = whole.join(kept, "doc", "left")
+    blank = F.filter(F.transform("all", lambda x, i: F.when(normal_line(x) == "", i)), lambda i: i.isNotNull())
+    stay = F.sort_array(F.concat(F.coalesce("keep", F.array().cast("array<int>")), blank))
+    out = whole.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.transform(stay, lambda i: F.get("all", i)).alias("left"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("left")).cast("long").alias("n_removed"), F.array_join("left", "\n").alias("text"))
