@@ -59,11 +59,11 @@ class Scratch:
         self.n = 0
         atexit.register(self.close)
 
-    def save(self, df: DataFrame, label: str) -> DataFrame:
+    def save(self, df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{label}"
         with shuffles_dropped(self.spark):
-            df.write.parquet(path)
+            df.write.parquet(path, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -14,6 +14,8 @@ LAST = (1 << 63) - 1  # stands for a null doc_id: no document is larger
 COORDINATES, ROWS = 40, 5
 #: Signatures with fewer filled coordinates also come from one permutation for each coordinate; those with fewer than ENOUGH only.
 SPARSE, ENOUGH = 30, 20
+#: Least hashes are looked for among so many shingles for each coordinate; a coordinate stays empty with probability exp(-NEAR).
+NEAR = 4
 
 
 def normal_line(line: Column) -> Column:
@@ -39,31 +41,38 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return firsts.select(F.monotonically_increasing_id().alias("id"), "at.doc", "at.line", "text")
 
 
-def shingles(lines: DataFrame, width: int) -> DataFrame:
-    """The other columns of ``lines`` and h: a row for each run of ``width`` characters of text; a shorter text is one run.
+def shingle(codes: Column, at: Column, width: int) -> Column:
+    """Hash of the ``width`` characters from the ``at``-th on, of a text in four bytes a character; of a shorter text, all of it."""
+    return F.xxhash64(F.substring(codes, at * 4 + 1, F.lit(4 * width)))
 
-    Texts are coded in four bytes a character, so that a shingle is a slice at a known place.
-    """
+
+def shingles(lines: DataFrame, width: int) -> DataFrame:
+    """The other columns of ``lines``, n, at and h: a row for each of the n runs of ``width`` characters of text; a shorter text is one run."""
     rest = [c for c in lines.columns if c != "text"]
     n = F.greatest(F.char_length("text") - (width - 1), F.lit(1))
-    sized = lines.select(*rest, F.encode("text", "UTF-32").alias("__codes"), n.alias("__n"))
-    placed = sized.select(*rest, "__codes", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__at"))
-    return placed.select(*rest, F.xxhash64(F.substring("__codes", F.col("__at") * 4 + 1, F.lit(4 * width))).alias("h"))
+    sized = lines.select(*rest, F.encode("text", "UTF-32").alias("__codes"), n.alias("n"))
+    placed = sized.select(*rest, "n", "__codes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    return placed.select(*rest, "n", "at", shingle(F.col("__codes"), F.col("at"), width).alias("h"))
 
 
 def signatures(lines: DataFrame, width: int, permutations: int) -> DataFrame:
-    """id, filled, keys (of the bands, null if hardly filled) and sketch (8 bits of each coordinate) of each line's set.
+    """key, filled, keys (of the bands, null if hardly filled) and sketch (8 bits of each coordinate) of each line's set.
+
+    key: twice the id, and 1 more for signatures from many permutations; these meet their like only.
 
     One permutation: every shingle goes to the coordinate that its hash names,
-    which takes the least hash; a coordinate may stay empty. With a
-    permutation for each coordinate, none does.
+    which takes the least hash; a coordinate may stay empty. Least hashes are
+    the same whatever else a set holds, so sets of all sizes agree on them.
+    With a permutation for each coordinate, none does.
     """
     hashed = shingles(lines.select("id", "text").repartition("id"), width)
     if permutations > 1:
-        many = hashed.distinct().select("id", "h", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k"))
+        many = hashed.select("id", "h").distinct().select("id", "h", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k"))
         least = many.select("id", "k", F.shiftrightunsigned(F.xxhash64("h", "k"), 33).cast("int").alias("m"))
     else:
-        least = hashed.select("id", F.shiftright(F.col("h").bitwiseAND((1 << 31) - 1) * COORDINATES, 31).cast("int").alias("k"), F.shiftrightunsigned("h", 33).cast("int").alias("m"))
+        # Only what can be least: of n shingles, NEAR for each coordinate are expected below this. One stays of every line.
+        low = (F.shiftrightunsigned("h", 33) * F.col("n") < F.lit((1 << 31) * COORDINATES * NEAR)) | (F.col("at") == 0)
+        least = hashed.where(low).select("id", F.shiftright(F.col("h").bitwiseAND((1 << 31) - 1) * COORDINATES, 31).cast("int").alias("k"), F.shiftrightunsigned("h", 33).cast("int").alias("m"))
     least = least.groupBy("id", "k").agg(F.min("m").alias("m"))
     # -1 stands for an empty coordinate.
     whole = least.groupBy("id").agg(*[F.max(F.when(F.col("k") == k, F.col("m")).otherwise(-1)).alias(f"m{k}") for k in range(COORDINATES)], F.count(F.lit(1)).cast("int").alias("filled"))
@@ -75,7 +84,7 @@ def signatures(lines: DataFrame, width: int, permutations: int) -> DataFrame:
         band = F.slice(F.col("x" if b >= blocks else "m"), b % blocks * ROWS + 1, ROWS)
         keys.append(F.when(F.size(F.array_remove(band, -1)) > ROWS // 2, F.xxhash64(F.lit(b + 100 * permutations), band)))
     sketch = [F.aggregate(F.slice("m", j + 1, 8), F.lit(0).cast("long"), lambda s, m: F.shiftleft(s, 8).bitwiseOR(m.bitwiseAND(255).cast("long"))).alias(f"s{j // 8}") for j in range(0, COORDINATES, 8)]
-    return whole.select("id", F.lit(permutations).alias("kind"), "filled", F.array(*keys).alias("keys"), F.struct(*sketch).alias("sketch"))
+    return whole.select((F.col("id") * 2 + int(permutations > 1)).alias("key"), "filled", F.array(*keys).alias("keys"), F.struct(*sketch).alias("sketch"))
 
 
 def unequal(x: Column, y: Column) -> Column:
@@ -99,9 +108,14 @@ def similar(lines: DataFrame, pairs: DataFrame, width: int, share: tuple[int, in
     ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
     texts = scratch.save(lines.select("id", "text").join(few_or_all(ids, broadcast_ids), "id", "left_semi"), "texts")
     both = pairs.select("u", "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    both = both.repartition("u", "v").select("u", "v", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("text")), F.struct(F.lit(2).alias("side"), F.col("b").alias("text")))).alias("s"))
-    members = shingles(both.select("u", "v", "s.side", "s.text"), width).groupBy("u", "v", "h").agg(F.bit_or("side").alias("side"))
-    counted = members.groupBy("u", "v").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("side") == 3).alias("shared"))
+
+    def members(text: str) -> Column:
+        # The outer transform codes a text once; what a lambda holds is evaluated for each element.
+        last = lambda c: F.greatest((F.octet_length(c) / 4).cast("int") - width, F.lit(0))
+        return F.get(F.transform(F.array(F.encode(text, "UTF-32")), lambda c: F.transform(F.sequence(F.lit(0), last(c)), lambda i: shingle(c, i, width))), F.lit(0))
+
+    sets = both.select("u", "v", members("a").alias("x"), members("b").alias("y"))
+    counted = sets.select("u", "v", F.size(F.array_intersect("x", "y")).alias("shared"), F.size(F.array_union("x", "y")).alias("all"))
     out = scratch.save(counted.where(F.col("shared") * share[1] >= F.col("all") * share[0]).select("u", "v"), "links")
     scratch.drop(ids, texts)
     return out
@@ -110,32 +124,34 @@ def similar(lines: DataFrame, pairs: DataFrame, width: int, share: tuple[int, in
 def line_groups(lines: DataFrame, scratch: Scratch, width: int, share: tuple[int, int], broadcast_ids: int, pivots: int) -> DataFrame:
     """node, component over the ids of lines that are similar to another one."""
     one = scratch.save(signatures(lines, width, 1), "signatures")
-    sparse = few_or_all(one.where(F.col("filled") < SPARSE).select("id"), broadcast_ids)
+    sparse = few_or_all(one.where(F.col("filled") < SPARSE).select(F.shiftright("key", 1).alias("id")), broadcast_ids)
     full = scratch.save(signatures(lines.join(sparse, "id", "left_semi"), width, COORDINATES), "signatures")
     signed = one.where(F.col("filled") >= ENOUGH).unionByName(full)
 
-    keyed = signed.select("id", "kind", F.explode("keys").alias("bucket")).where("bucket IS NOT NULL")
-    buckets = scratch.save(keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("top"), F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    keyed = signed.select("key", F.explode("keys").alias("bucket")).where("bucket IS NOT NULL")
+    buckets = scratch.save(keyed.groupBy("bucket").agg(F.min("key").alias("centre"), F.max("key").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     large = buckets.where("n > 2").select("bucket", "centre", "n")
     if (many := large.count()) <= broadcast_ids:
         members = keyed.join(F.broadcast(large), "bucket")
     else:
-        members = attach(keyed, large, ["bucket"], "n", ["centre", "n"], max(many, keyed.count()), ["id"]).where("centre IS NOT NULL")
-    sketches = signed.select("id", "kind", "sketch")
-    members = scratch.save(members.where("id <> centre").join(sketches, ["id", "kind"]), "members")
+        members = attach(keyed, large, ["bucket"], "n", ["centre", "n"], max(many, keyed.count()), ["key"]).where("centre IS NOT NULL")
+    sketches = signed.select("key", "sketch")
+    members = scratch.save(members.where("key <> centre").join(sketches, "key"), "members")
 
-    most = int(COORDINATES * (1 - share[0] / share[1]) + 4 * (COORDINATES * share[0] / share[1] * (1 - share[0] / share[1])) ** 0.5)
+    mean = COORDINATES * share[0] / share[1]
+    most = int(COORDINATES - mean + 3 * (mean * (1 - share[0] / share[1])) ** 0.5)
     near = unequal(F.col("x"), F.col("y")) <= most
-    pairs = buckets.where("n = 2").select(F.col("top").alias("u"), F.col("centre").alias("v"), "kind").unionByName(members.select(F.col("id").alias("u"), F.col("centre").alias("v"), "kind")).distinct()
-    pairs = pairs.join(sketches.select(F.col("id").alias("u"), "kind", F.col("sketch").alias("x")), ["u", "kind"]).join(sketches.select(F.col("id").alias("v"), "kind", F.col("sketch").alias("y")), ["v", "kind"])
-    pairs = scratch.save(pairs.where(near).select("u", "v").distinct(), "pairs")
+    pairs = buckets.where("n = 2").select(F.col("top").alias("p"), F.col("centre").alias("q")).unionByName(members.select(F.col("key").alias("p"), F.col("centre").alias("q"))).distinct()
+    pairs = pairs.join(sketches.select(F.col("key").alias("p"), F.col("sketch").alias("x")), "p").join(sketches.select(F.col("key").alias("q"), F.col("sketch").alias("y")), "q").where(near)
+    pairs = scratch.save(pairs.select(F.shiftright("p", 1).alias("u"), F.shiftright("q", 1).alias("v")).distinct(), "pairs")
+    members = members.select("bucket", F.shiftright("key", 1).alias("id"), "sketch")
     links, tested = similar(lines, pairs, width, share, scratch, broadcast_ids), pairs
 
     turn = 0
     while True:
         stars = components(links, scratch)
         # What is left: members of one bucket in different components. Pivots of each such bucket are compared with all others of it.
-        labelled = members.select("bucket", "id", "sketch").join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labelled = members.join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         labelled = scratch.save(labelled, "labelled")
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("bucket", "m")
         open_ = scratch.save(labelled.join(few_or_all(mixed, broadcast_ids), "bucket"), "open")
@@ -172,7 +188,7 @@ def fuzzy_lines(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 1
     Signatures have 40 coordinates from one permutation, or from one each for
     lines of few shingles. Candidates share one of 16 bands of 5 coordinates,
     two ways of cutting 40 into fives (at a similarity of 0.8 with
-    probability 0.993, at 0.85 with 0.999), and a sketch of all coordinates that is within four
+    probability 0.993, at 0.85 with 0.999), and a sketch of all coordinates that is within three
     standard errors of the threshold. In each bucket all lines are compared
     with the smallest; where a bucket holds lines of different components,
     about ``pivots`` lines are drawn and compared with all others, ``pivots``
@@ -186,16 +202,16 @@ def fuzzy_lines(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 1
     Other columns are left out; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = scratch.save(distinct_lines(docs), "lines")
+    lines = scratch.save(distinct_lines(docs), "lines", "zstd")
     stars = line_groups(lines, scratch, width, share, broadcast_ids, pivots)
     stars = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
     labelled = lines.select("id", "doc", "line").join(stars.withColumnRenamed("node", "id"), "id", "left")
     alone = labelled.where("component IS NULL").select("doc", "line")
     firsts = labelled.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc", "line")).alias("at")).select("at.doc", "at.line")
     kept = scratch.save(alone.unionByName(firsts).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("keep")), "kept")
-    whole = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.split(F.coalesce("text", F.lit("")), "\n").alias("all"))
-    whole = whole.join(kept, "doc", "left")
-    blank = F.filter(F.transform("all", lambda x, i: F.when(normal_line(x) == "", i)), lambda i: i.isNotNull())
+    whole = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = whole.join(kept, "doc", "left").select("doc_id", "keep", F.split("text", "\n").alias("all"))
+    blank = F.filter(F.transform("all", lambda x, i: F.when(F.btrim(x, F.lit(" \t\x0b\x0c\r")) == "", i)), lambda i: i.isNotNull())
     stay = F.sort_array(F.concat(F.coalesce("keep", F.array().cast("array<int>")), blank))
     out = whole.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.transform(stay, lambda i: F.get("all", i)).alias("left"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("left")).cast("long").alias("n_removed"), F.array_join("left", "\n").alias("text"))
