@@ -41,6 +41,16 @@ def test_static_member_returns_without_a_rebalance():
     assert g.join(3, "a-3", ["sticky"], 10**6, "a") == 0 and g.generation == 2
 
 
+def test_instances_are_fenced_and_leave_by_name():
+    g = M.Group()
+    g.join(0, "a-1", ["range"], 10**6, "a")
+    g.sync(1, "a-1", 1, {"a-1": "p"}, "a")
+    assert g.heartbeat(2, "a-1", 1, "a") == 0 and g.heartbeat(2, "a-1", 1, "zz") == M.UNKNOWN_MEMBER
+    g.join(3, "a-2", ["range"], 10**6, "a")
+    assert g.heartbeat(4, "a-1", 1, "a") == M.FENCED_INSTANCE == g.sync(4, "a-1", 1, {}, "a") and g.heartbeat(4, "a-2", 1, "a") == 0
+    assert g.leave_all(5, [("other", "a"), ("a-2", None), ("x", "nobody")]) == [0, M.UNKNOWN_MEMBER, M.UNKNOWN_MEMBER] and g.state == "Empty"
+
+
 def test_replay(spark):
     data = [("g", 1, 0, "join", "a", None, ["r"], 10, 0, None), ("g", 2, 1, "sync", "a", None, None, None, 1, {"a": "x"}), ("g", 3, 5, "heartbeat", "a", None, None, None, 1, None), ("g", 4, 6, "leave", "a", None, None, None, 1, None), ("h", 1, 0, "leave", "q", None, None, None, 0, None)]
     out = M.replay(spark.createDataFrame(data, M.EVENT)).orderBy("grp", "seq").collect()

@@ -106,14 +106,80 @@ def test_validation_order(spark):
     assert [r.error_code for r in ingest.validate(b, 500).orderBy("id").collect()] == [3, 2, 2, 43, 10, 0]
 
 
-def test_sequence_window():
-    w = ingest.SequenceWindow()
-    assert w.accept(0, 0, 5, 100) == (0, 100, False) and w.accept(0, 5, 3, 200) == (0, 200, False) and w.accept(0, 8, 2, 300) == (0, 300, False)
-    assert w.accept(0, 8, 2, 999) == (0, 300, True) and w.accept(0, 10, 1, 400) == (0, 400, False)
-    assert w.accept(0, 0, 5, 999) == (0, 100, True) and w.accept(0, 11, 1, 500) == (0, 500, False)
-    assert w.accept(0, 0, 5, 999)[0] == ingest.OUT_OF_ORDER  # four batches are remembered
-    assert w.accept(1, 3, 1, 600)[0] == ingest.OUT_OF_ORDER and w.accept(1, 0, 4, 300) == (0, 300, False)
-    assert w.accept(1, 0, 4, 999) == (0, 300, True) and w.accept(0, 4, 1, 700)[0] == ingest.INVALID_EPOCH
+def test_producer_of_one_partition():
+    w = ingest.Producer()
+    take = lambda *x: w.accept(0, *x)
+    assert take(0, 0, 5, 100) == (0, 100, False) and take(0, 5, 3, 200) == (0, 200, False) and take(0, 8, 2, 300) == (0, 300, False)
+    assert take(0, 8, 2, 999) == (0, 300, True) and take(0, 10, 1, 400) == (0, 400, False)
+    assert take(0, 0, 5, 999) == (0, 100, True) and take(0, 11, 1, 500) == (0, 500, False)
+    assert take(0, 0, 5, 999)[0] == ingest.OUT_OF_ORDER  # four batches are remembered
+    assert take(1, 3, 1, 600)[0] == ingest.OUT_OF_ORDER and take(1, 0, 4, 300) == (0, 300, False)
+    assert take(1, 0, 4, 999) == (0, 300, True) and take(0, 4, 1, 700)[0] == ingest.INVALID_EPOCH
+
+
+def test_producer_across_partitions():
+    w = ingest.Producer()
+    assert w.accept(0, 3, 40, 2, 7) == (0, 7, False)  # unknown: may begin anywhere
+    assert w.accept(1, 3, 5, 1, 8)[0] == ingest.OUT_OF_ORDER and w.accept(1, 3, 0, 1, 8) == (0, 8, False)  # known: a new partition begins at 0
+    assert w.accept(1, 4, 0, 1, 9) == (0, 9, False)  # a new epoch clears all partitions
+    assert w.accept(0, 3, 42, 1, 10)[0] == ingest.INVALID_EPOCH and w.accept(0, 4, 42, 1, 10)[0] == ingest.OUT_OF_ORDER
+    assert w.accept(0, 4, 0, 1, 11) == (0, 11, False)
+
+
+def test_dedup_keeps_the_order_of_arrival_across_partitions(spark):
+    sent = [(0, 5, 0, 0, 1, 1, 100), (1, 5, 0, 0, 1, 2, 101), (0, 5, 1, 0, 1, 3, 102), (1, 5, 0, 1, 1, 4, 103), (1, 5, 1, 0, 2, 5, 104), (1, 5, 1, 0, 2, 6, 999), (0, -1, 0, -1, 1, 7, 105), (None, None, None, None, 1, 8, 106)]
+    out = ingest.dedup_exact(spark.createDataFrame(sent, "part int, producer_id long, epoch int, seq long, n int, arrival long, off long"))
+    assert rows(out.select("arrival", "error_code", "result_offset", "duplicate")) == [(1, 0, 100, False), (2, 0, 101, False), (3, 0, 102, False), (4, 90, -1, False), (5, 0, 104, False), (6, 0, 104, True), (7, 0, 105, False), (8, 0, 106, False)]
+
+
+def test_as_of_and_running_against_plain_python(spark):
+    import random
+
+    from tideline.operators import runs
+
+    r = random.Random(5)
+    steps = sorted({(r.randrange(3), r.randrange(-50, 400)) for _ in range(60)})
+    points = [(r.randrange(4), r.randrange(-80, 500)) for _ in range(80)]
+    s = spark.createDataFrame([(g, x, None if x % 5 == 0 else x * 10) for g, x in steps], "g int, x long, v long")
+    p = spark.createDataFrame([(i, g, x) for i, (g, x) in enumerate(points)], "id int, g int, at long")
+    want = {}
+    for i, (g, x) in enumerate(points):
+        best = max((y for h, y in steps if h == g and y <= x), default=None)
+        want[i] = None if best is None else (best, None if best % 5 == 0 else best * 10)
+    for width in (1, 7, 100_000):
+        got = runs.as_of(p, s, ["g"], F.col("at"), F.col("x"), width, F.struct("x", "v"), "found").collect()
+        assert {y.id: None if y.found is None else tuple(y.found) for y in got} == want
+    for how, fold in (("sum", sum), ("max", max)):
+        got = runs.running(s, ["g"], ["x"], F.floor(F.col("x") / 30), F.col("x"), "before", how).collect()
+        assert len(got) == len(steps)
+        for y in got:
+            before = [x for g, x in steps if g == y.g and x < y.x]
+            assert y.before == (fold(before) if before else (0 if how == "sum" else None))
+
+
+def test_fetch_does_not_join_on_partition_alone(spark):
+    b = batches(spark, [(i * 10, i * 10 + 9, i, 50) for i in range(300)])
+    wanted = spark.createDataFrame([(i, 0, i * 37, 120) for i in range(80)], "request_id int, part int, off long, max_bytes long")
+    got = rows(scan.fetch(b, wanted, width=64, span=100).select("request_id", "base_offset"))
+    assert got == sorted((i, x) for i in range(80) for x in range(i * 37 // 10 * 10, i * 37 // 10 * 10 + 20, 10) if x < 3000)
+    plan = str(scan.fetch(b, wanted)._jdf.queryExecution().optimizedPlan())
+    assert all("__bucket" in j or "__span" in j or "__at" in j for j in plan.splitlines() if "Join" in j and "part" in j)
+
+
+def test_results_that_skip_unflushed_batches_are_held_back(spark):
+    found = spark.createDataFrame([(1, 0, 5, 20), (2, 0, 20, 20), (3, 0, 12, 20)], "request_id int, part int, off long, base_offset long")
+    unflushed = spark.createDataFrame([(0, 0, 9)], "part int, base_offset long, last_offset long")
+    assert rows(scan.without_skips(found, unflushed).select("request_id")) == [(2,), (3,)]
+
+
+def test_end_of_transactions(spark):
+    known = spark.createDataFrame([(1, 0, "Ongoing", None, None), (2, 0, "Ending", True, None), (3, 0, "None", None, False)], "producer_id long, epoch int, state string, ending boolean, last boolean")
+    ask = spark.createDataFrame([(1, 0, True, True), (2, 0, True, True), (2, 0, False, True), (3, 0, False, True), (3, 0, True, True), (1, -1, True, True), (1, 1, True, True), (9, 0, True, True), (2, 0, True, False)], "producer_id long, epoch int, commit boolean, success boolean")
+    assert [tuple(r) for r in txn.prepare_end(ask, known).select("producer_id", "error_code", "state").collect()].count((1, 0, "Ending")) == 1
+    assert rows(txn.prepare_end(ask, known).select("producer_id", "epoch", "commit", "error_code")) == sorted([(1, 0, True, 0), (2, 0, True, 0), (2, 0, False, 53), (3, 0, False, 0), (3, 0, True, 53), (1, -1, True, 90), (1, 1, True, 47), (9, 0, True, 3), (2, 0, True, 0)])
+    done = {(r.producer_id, r.commit, r.success, r.epoch): (r.error_code, r.state, r.last) for r in txn.finish_end(ask, known).collect()}
+    assert done[2, True, True, 0] == (0, "None", True) and done[2, True, False, 0] == (0, "Ongoing", None) and done[2, False, True, 0] == (53, "Ending", None)
+    assert done[3, False, True, 0] == (0, "None", False) and done[1, True, True, 0] == (53, "Ongoing", None)
 
 
 def test_transactions(spark):

@@ -20,12 +20,13 @@ def test_group_replay_takes_every_event(spark):
         for r in sorted(rows, key=lambda r: r.event_id):
             group.pass_time(r.ts_ms)
             member = str(r.user_id)
+            static = f"s{r.user_id % 8}" if r.user_id % 4 == 0 else None
             if r.event_type == "error":
-                code = group.leave(r.ts_ms, member)
+                code = group.leave(r.ts_ms, member, static)
             elif r.event_type == "view":
-                code = group.heartbeat(r.ts_ms, member, 1)
+                code = group.heartbeat(r.ts_ms, member, 1, static)
             else:
-                code = group.join(r.ts_ms, member, ["range"], 3_600_000, None)
+                code = group.join(r.ts_ms, member, ["range"], 3_600_000, static)
             want.append((name, r.event_id, code, group.state, group.generation, group.leader, len(group.members)))
     got = registry.QUERIES["group_replay"](spark, FOLDER).collect()
     assert sorted(map(tuple, got)) == sorted(want)

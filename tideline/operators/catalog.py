@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Topic configs and their defaults; fixed values.
@@ -85,6 +85,12 @@ def describe_configs(topics: DataFrame, names: list[str] | None = None) -> DataF
     return rows.select("name", "config", "value", (~F.map_contains_key("own", F.col("config"))).alias("is_default"))
 
 
+def describe_broker(spark: SparkSession, node_id: int, names: list[str] | None = None) -> DataFrame:
+    """name, config, value, is_default, read_only of the broker resource: its id alone."""
+    rows = spark.range(1).select(F.lit(str(node_id)).alias("name"), F.lit("broker.id").alias("config"), F.lit(str(node_id)).alias("value"), F.lit(False).alias("is_default"), F.lit(True).alias("read_only"))
+    return rows.where(F.col("config").isin(names)) if names else rows
+
+
 def alter_configs(configs: DataFrame, changes: DataFrame) -> DataFrame:
     """(name, config, value) after incremental changes (name, config, op, value, seq): the last SET or DELETE counts, other ops do nothing."""
     last = changes.where(F.col("op").isin("SET", "DELETE")).groupBy("name", "config").agg(F.max_by(F.struct("op", "value"), "seq").alias("x"))
@@ -143,6 +149,19 @@ def raise_watermarks(state: DataFrame, probed: DataFrame) -> DataFrame:
     return state.join(probed.select("part", F.col("hw").alias("__hw")), "part", "left").withColumn("hw", F.greatest("hw", F.coalesce("__hw", F.lit(0)))).drop("__hw")
 
 
+def replay_log_starts(state: DataFrame, starts: DataFrame) -> DataFrame:
+    """state (part, log_start, hw) after a replay of log starts (part, log_start): the largest counts, and none lies above hw then."""
+    last = starts.groupBy("part").agg(F.max("log_start").alias("__start"))
+    rows = state.join(last, "part", "left").withColumn("log_start", F.greatest("log_start", "__start"))
+    return rows.withColumn("hw", F.greatest("hw", "log_start")).drop("__start")
+
+
+def promoted(batches: DataFrame, state: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a promoted broker starts from: state (part, hw) raised to the end of the log, and the batches not flushed yet (marks: part, wm)."""
+    ends = batches.groupBy("part").agg((F.max("last_offset") + 1).alias("hw"))
+    return raise_watermarks(state, ends), batches.join(marks, "part").where("last_offset >= wm").drop("wm")
+
+
 def metadata(wanted: DataFrame | None, catalog: DataFrame, create: bool = False, default_partitions: int = 1) -> DataFrame:
     """name, topic_id, partition_count, error_code of the wanted names (null: all topics); 3 where unknown, unless they are created."""
     if wanted is None:

@@ -42,7 +42,7 @@ def two_pass(log: DataFrame, by: tuple[str, ...] = ("part",), key: str = "k") ->
 
 
 def orphans(objects: DataFrame) -> DataFrame:
-    """Objects that end within what earlier ones of the partition cover."""
+    """Objects that end within what earlier ones of the partition cover. The window holds a row for each file."""
     covered = F.max("last_offset").over(Window.partitionBy("part").orderBy("base_offset", F.desc("last_offset"), "object_no").rowsBetween(Window.unboundedPreceding, -1))
     return objects.withColumn("__covered", covered).where("__covered >= last_offset").drop("__covered")
 
@@ -78,6 +78,17 @@ def windows(objects: DataFrame, cleaned: DataFrame, limit: int, now_ms: int | Co
     return packed.join(sizes, ["part", "window_id"])
 
 
+def cleaned_up_to(sources: DataFrame, kept: DataFrame) -> DataFrame:
+    """part, window_id, watermark after compaction of windows: the last offset that is left of one, or that it had if nothing is left.
+
+    sources: part, window_id, last_offset of the objects; kept: part,
+    window_id, off of the records that stay.
+    """
+    had = sources.groupBy("part", "window_id").agg(F.max("last_offset").alias("__had"))
+    left = kept.groupBy("part", "window_id").agg(F.max("off").alias("__left"))
+    return had.join(left, ["part", "window_id"], "left").select("part", "window_id", F.coalesce("__left", "__had").alias("watermark"))
+
+
 def dirtiest(candidates: DataFrame, now_ms: int | Column, min_dirty: int) -> DataFrame:
     """The partition to compact next: eligible and with the most dirty objects; of equals the first.
 

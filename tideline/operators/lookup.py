@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runs import as_of, running
+
 
 def part_state(batches: DataFrame) -> DataFrame:
     """part, log_start, hw, total_bytes, n_batches, max_ts, max_ts_offset of each partition, in one aggregation."""
@@ -24,10 +26,36 @@ def stable_offsets(state: DataFrame, ranges: DataFrame) -> DataFrame:
     return state.join(open_, "part", "left").withColumn("lso", F.least("hw", F.coalesce("__open", "hw"))).drop("__open")
 
 
-def offset_for_time(batches: DataFrame, times: DataFrame) -> DataFrame:
-    """For each (part, t) the first batch in offset order whose largest time stamp reaches t: found_offset, found_ts; -1, -1 where none does."""
-    hits = times.join(batches.select("part", "base_offset", "max_ts"), "part").where("max_ts >= t").groupBy("part", "t").agg(F.min_by(F.struct("base_offset", "max_ts"), "base_offset").alias("x"))
-    return times.join(hits, ["part", "t"], "left").select("part", "t", F.coalesce("x.base_offset", F.lit(-1)).alias("found_offset"), F.coalesce("x.max_ts", F.lit(-1)).alias("found_ts"))
+def offset_for_time(batches: DataFrame, times: DataFrame, width: int = 65_536, width_ms: int = 3_600_000) -> DataFrame:
+    """For each (part, t) the first batch in offset order whose largest time stamp reaches t: found_offset, found_ts; -1, -1 where none does.
+
+    Only batches whose time exceeds all before them can be first; their times
+    rise with their offsets, so a lookup by time finds the one.
+    """
+    rows = running(batches, ["part"], ["base_offset"], F.floor(F.col("base_offset") / width), F.col("max_ts"), "__before", "max")
+    records = rows.where("__before IS NULL OR max_ts > __before")
+    found = as_of(times, records, ["part"], -F.col("t"), -F.col("max_ts"), width_ms, F.struct("base_offset", "max_ts"), "__x")
+    return found.select("part", "t", F.coalesce("__x.base_offset", F.lit(-1)).alias("found_offset"), F.coalesce("__x.max_ts", F.lit(-1)).alias("found_ts"))
+
+
+LATEST, EARLIEST, MAX_TIME = -1, -2, -3
+
+
+def list_offsets(batches: DataFrame, state: DataFrame, requests: DataFrame) -> DataFrame:
+    """Answers (part, t, committed): error_code, off and ts_ms.
+
+    t: -1 the end (the last stable offset if ``committed``), -2 the start, -3
+    the largest time stamp, else the first batch that reaches it. state: part,
+    log_start, hw, lso, max_ts, max_ts_offset. Unknown partitions: 3, -1, -1.
+    """
+    rows = requests.join(state.select("part", "log_start", "hw", "lso", "max_ts", "max_ts_offset"), "part", "left")
+    timed = offset_for_time(batches, requests.where("t >= 0").select("part", "t").distinct())
+    rows = rows.join(timed, ["part", "t"], "left")
+    t, none = F.col("t"), F.lit(-1).cast("long")
+    off = F.when(t == LATEST, F.when(F.col("committed"), F.col("lso")).otherwise(F.col("hw"))).when(t == EARLIEST, F.col("log_start")).when(t == MAX_TIME, F.col("max_ts_offset")).otherwise(F.col("found_offset"))
+    ts = F.when(t == MAX_TIME, F.col("max_ts")).when(t >= 0, F.col("found_ts")).otherwise(none)
+    known = F.col("hw").isNotNull()
+    return rows.select(*requests.columns, F.when(known, 0).otherwise(3).alias("error_code"), F.when(known, off).otherwise(none).alias("off"), F.when(known, ts).otherwise(none).alias("ts_ms"))
 
 
 def epoch_end(state: DataFrame, requests: DataFrame) -> DataFrame:
@@ -54,7 +82,3 @@ def lag(state: DataFrame, committed: DataFrame) -> DataFrame:
     # Every group against every partition of the log: the report has a row for each, so this product is its size.
     rows = committed.select("grp").distinct().join(state.select("part", "hw"))
     return rows.join(committed.select("grp", "part", "committed"), ["grp", "part"], "left").withColumn("lag", F.col("hw") - F.coalesce("committed", F.lit(0)))
-
-
-def running_max(column: str, by: list[str], order: str) -> Column:
-    return F.max(column).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

@@ -96,13 +96,24 @@ class Group:
         self.complete(now)
         return 0
 
-    def check(self, name: str, generation: int) -> int:
+    def holder(self, instance: str) -> str | None:
+        """The member that has the instance id now."""
+        return next((k for k, m in self.members.items() if m.instance == instance), None)
+
+    def check(self, name: str, generation: int, instance: str | None = None) -> int:
+        """An instance id must be known, and be the member's own: else another one has taken its place."""
+        if instance:
+            now = self.holder(instance)
+            if now is None:
+                return UNKNOWN_MEMBER
+            if now != name:
+                return FENCED_INSTANCE
         if name not in self.members:
             return UNKNOWN_MEMBER
         return ILLEGAL_GENERATION if generation != self.generation else 0
 
-    def sync(self, now: int, name: str, generation: int, assignments: dict[str, str]) -> int:
-        if code := self.check(name, generation):
+    def sync(self, now: int, name: str, generation: int, assignments: dict[str, str], instance: str | None = None) -> int:
+        if code := self.check(name, generation, instance):
             return code
         self.members[name].seen_ms = now
         if self.state == "PreparingRebalance":
@@ -113,13 +124,16 @@ class Group:
             self.state = "Stable"
         return 0
 
-    def heartbeat(self, now: int, name: str, generation: int) -> int:
-        if code := self.check(name, generation):
+    def heartbeat(self, now: int, name: str, generation: int, instance: str | None = None) -> int:
+        if code := self.check(name, generation, instance):
             return code
         self.members[name].seen_ms = now
         return REBALANCING if self.state == "PreparingRebalance" else 0
 
-    def leave(self, now: int, name: str) -> int:
+    def leave(self, now: int, name: str, instance: str | None = None) -> int:
+        """One member leaves; an instance id, where given, says which."""
+        if instance:
+            name = self.holder(instance)
         if name not in self.members:
             return UNKNOWN_MEMBER
         del self.members[name]
@@ -130,16 +144,20 @@ class Group:
             self.state, self.leader = "Empty", None
         return 0
 
+    def leave_all(self, now: int, leaving: list[tuple[str, str | None]]) -> list[int]:
+        """A batch of (member, instance) leaves, each with its own error code."""
+        return [self.leave(now, name, instance) for name, instance in leaving]
+
     def apply(self, e) -> int:
         now = int(e.ts_ms)
         self.pass_time(now)
         if e.kind == "join":
             return self.join(now, e.member_id, list(e.protocols if e.protocols is not None else []), int(e.timeout_ms or SESSION_MS), e.instance_id)
         if e.kind == "sync":
-            return self.sync(now, e.member_id, int(e.generation), dict(e.assignments or {}))
+            return self.sync(now, e.member_id, int(e.generation), dict(e.assignments or {}), e.instance_id)
         if e.kind == "heartbeat":
-            return self.heartbeat(now, e.member_id, int(e.generation))
-        return self.leave(now, e.member_id)
+            return self.heartbeat(now, e.member_id, int(e.generation), e.instance_id)
+        return self.leave(now, e.member_id, e.instance_id)
 
 
 EVENT = "grp string, seq long, ts_ms long, kind string, member_id string, instance_id string, protocols array<string>, timeout_ms long, generation int, assignments map<string,string>"

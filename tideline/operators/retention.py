@@ -14,7 +14,8 @@ def mark_expired(objects: DataFrame, now_ms: int | Column, retention_ms: int | C
     by_time: the largest time stamp is older than the retention, wherever the
     object lies. by_size: this object and the newer ones exceed the limit, and
     it isn't the newest. Oldest first, both kinds expire, but one object
-    always stays. Negative limits switch a kind off.
+    always stays. Negative limits switch a kind off. Windows go over the
+    objects of a partition, one row for each file.
     """
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     now, keep_ms, limit = map(as_col, (now_ms, retention_ms, retention_bytes))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ingest import OFFSET_OUT_OF_RANGE
+from .runs import as_of, running
 
 
 def range_check(requests: DataFrame, state: DataFrame) -> DataFrame:
@@ -15,13 +16,55 @@ def range_check(requests: DataFrame, state: DataFrame) -> DataFrame:
     return joined.withColumn("error_code", F.when(F.col("hw").isNull(), 3).when(bad, OFFSET_OUT_OF_RANGE).otherwise(0))
 
 
-def fetch(batches: DataFrame, requests: DataFrame) -> DataFrame:
-    """Batches of each request (request_id, part, off, max_bytes): from the one that holds off on, the first always, then while their bytes fit."""
-    rows = requests.join(batches, "part").where(F.col("last_offset") >= F.col("off"))
-    order = Window.partitionBy("request_id").orderBy("base_offset")
-    running = F.sum("batch_length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumns({"rn": F.row_number().over(order), "running_bytes": running})
-    return rows.where((F.col("rn") == 1) | (F.col("running_bytes") <= F.col("max_bytes"))).drop("rn")
+def fetch(batches: DataFrame, requests: DataFrame, width: int = 65_536, span: int = 1 << 20) -> DataFrame:
+    """Batches of each request (request_id, part, off, max_bytes): from the one that holds off on, the first always, then while their bytes fit.
+
+    The first batch is looked up, and the place in bytes where it begins; the
+    others lie within max_bytes of it, so a request meets only the batches of
+    the stretches of ``span`` bytes that it covers.
+    """
+    rows = running(batches, ["part"], ["base_offset"], F.floor(F.col("base_offset") / width), F.col("batch_length"), "__begin")
+    first = locate_batch(rows, requests, width, "__begin").where("base_offset IS NOT NULL")
+    wanted = first.select(*requests.columns, F.col("base_offset").alias("__first"), F.col("__begin").alias("__from"))
+    wanted = wanted.withColumn("__span", F.explode(F.sequence(F.floor(F.col("__from") / span), F.floor((F.col("__from") + F.col("max_bytes")) / span))))
+    both = wanted.join(rows.withColumn("__span", F.floor(F.col("__begin") / span)), ["part", "__span"])
+    total = F.col("__begin") + F.col("batch_length") - F.col("__from")
+    fits = (F.col("base_offset") == F.col("__first")) | ((F.col("base_offset") > F.col("__first")) & (total <= F.col("max_bytes")))
+    return both.where(fits).withColumn("running_bytes", total).drop("__span", "__first", "__from", "__begin")
+
+
+def fetch_response(batches: DataFrame, requests: DataFrame, state: DataFrame, limit: int, committed: bool = False) -> DataFrame:
+    """The answer to a fetch of several partitions: request_id, part, error_code, hw, lso, n_batches, bytes, kept.
+
+    requests: response_id, seq, request_id, part, off, max_bytes; state: part,
+    log_start, hw, lso. Each partition is checked, read up to the high
+    watermark (the last stable offset if ``committed``) and its own limit;
+    then the response is trimmed to ``limit`` bytes in the order of seq.
+    Unknown partitions get error 3 and no watermarks.
+    """
+    checked = range_check(requests, state)
+    end = F.col("lso") if committed else F.col("hw")
+    readable = batches.join(state.select("part", end.alias("__end")), "part").where("last_offset < __end").drop("__end")
+    good = checked.where("error_code = 0").select(*requests.columns)
+    sizes = fetch(readable, good).groupBy("request_id").agg(F.count(F.lit(1)).alias("n_batches"), F.sum("batch_length").cast("long").alias("bytes"))
+    rows = checked.join(sizes, "request_id", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+    kept = trim_response(rows.select("response_id", "seq", F.col("bytes").alias("size")), limit).select("response_id", "seq", F.lit(True).alias("__kept"))
+    rows = rows.join(kept, ["response_id", "seq"], "left")
+    there = F.coalesce("__kept", F.lit(False))
+    mark = lambda c: F.when(F.col("error_code") == 3, -1).otherwise(F.col(c)).cast("long").alias(c)
+    return rows.select("request_id", "part", "error_code", mark("hw"), mark("lso"), F.when(there, F.col("n_batches")).otherwise(0).cast("long").alias("n_batches"), F.when(there, F.col("bytes")).otherwise(0).cast("long").alias("bytes"), there.alias("kept"))
+
+
+def without_skips(found: DataFrame, unflushed: DataFrame) -> DataFrame:
+    """Fetched batches (request_id, part, off, base_offset, ...) of the requests that skip no unflushed batch (part, base_offset, last_offset).
+
+    A request whose first batch begins behind its offset, while an unflushed
+    batch lies between, would lose that one and gets nothing.
+    """
+    first = found.groupBy("request_id", "part", "off").agg(F.min("base_offset").alias("__first")).where("__first > off")
+    between = unflushed.select("part", F.col("base_offset").alias("__base"), F.col("last_offset").alias("__last"))
+    skips = first.join(between, "part").where("__last >= off AND __base < __first").select("request_id").distinct()
+    return found.join(skips, "request_id", "left_anti")
 
 
 def trim_response(sized: DataFrame, limit: int) -> DataFrame:
@@ -46,12 +89,11 @@ def hw_visible(batches: DataFrame, state: DataFrame) -> DataFrame:
     return batches.join(state.select("part", "hw"), "part").where(F.col("last_offset") + 1 <= F.col("hw")).drop("hw")
 
 
-def contiguous(batches: DataFrame) -> DataFrame:
+def contiguous(batches: DataFrame, width: int = 65_536) -> DataFrame:
     """Batches up to the first gap of each partition."""
-    order = Window.partitionBy("part").orderBy("base_offset")
-    gap = F.coalesce(F.col("base_offset") != F.lag("last_offset").over(order) + 1, F.lit(False))
-    rows = batches.withColumn("__gap", gap.cast("int"))
-    return rows.withColumn("__island", F.sum("__gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("__island = 0").drop("__gap", "__island")
+    rows = running(batches, ["part"], ["base_offset"], F.floor(F.col("base_offset") / width), F.col("last_offset") + 1, "__end", "max")
+    gaps = rows.where("base_offset <> __end").groupBy("part").agg(F.min("base_offset").alias("__gap"))
+    return batches.join(gaps, "part", "left").where("__gap IS NULL OR base_offset < __gap").drop("__gap")
 
 
 def tier_union(*tiers: DataFrame) -> DataFrame:
@@ -65,19 +107,25 @@ def tier_union(*tiers: DataFrame) -> DataFrame:
     return best.select("part", "base_offset", "x.*", "tier")
 
 
-def locate_object(objects: DataFrame, requests: DataFrame) -> DataFrame:
-    """The object of each request (request_id, part, off): the last that begins at or before it, else the first; and its successor."""
-    order = Window.partitionBy("part").orderBy("base_offset")
-    spans = objects.select("part", "base_offset", F.lead("base_offset").over(order).alias("next_base"), (F.row_number().over(order) == 1).alias("first"))
-    hit = (F.col("off") >= F.col("base_offset")) | F.col("first")
-    return requests.join(spans, "part").where(hit & (F.col("next_base").isNull() | (F.col("off") < F.col("next_base")))).drop("first")
-
+def locate_object(objects: DataFrame, requests: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """The object of each request (request_id, part, off): the last that begins at or before it, else the first; and its successor.
 
-def locate_batch(batches: DataFrame, requests: DataFrame) -> DataFrame:
-    """The first batch that ends at or behind each request's offset; null where there is none."""
-    found = requests.join(batches.select("part", "base_offset", "last_offset"), "part").where(F.col("last_offset") >= F.col("off"))
-    least = found.groupBy("request_id").agg(F.min("base_offset").alias("base_offset"))
-    return requests.join(least, "request_id", "left")
+    Successors come from a window over the objects of a partition, one row for each file.
+    """
+    order = Window.partitionBy("part").orderBy("base_offset")
+    spans = objects.select("part", "base_offset", F.lead("base_offset").over(order).alias("next_base"))
+    found = as_of(requests, spans, ["part"], F.col("off"), F.col("base_offset"), width, F.struct("base_offset", "next_base"), "__object")
+    first = spans.groupBy("part").agg(F.min_by(F.struct("base_offset", "next_base"), "base_offset").alias("__first"))
+    object_ = F.coalesce("__object", "__first")
+    return found.join(first, "part").select(*requests.columns, object_["base_offset"].alias("base_offset"), object_["next_base"].alias("next_base"))
+
+
+def locate_batch(batches: DataFrame, requests: DataFrame, width: int = 65_536, *more: str) -> DataFrame:
+    """The first batch that ends at or behind each request's offset, with its columns ``more``; null where there is none."""
+    names = ["base_offset", *more]
+    # Backwards, that is the last one that isn't above the offset.
+    found = as_of(requests, batches, ["part"], -F.col("off"), -F.col("last_offset"), width, F.struct(*names), "__batch")
+    return found.select(*requests.columns, *[F.col("__batch")[c].alias(c) for c in names])
 
 
 def below_lso(batches: DataFrame, state: DataFrame) -> DataFrame:

@@ -37,6 +37,25 @@ def window_stats(rows: DataFrame, width_ms: int, ts: str = "ts_ms", size: str =
     return stats.select("window_ms", "n", "bytes", rate(F.col("n")).alias("per_s"), (rate(F.col("bytes")) / F.lit(1048576.0)).alias("mib_per_s"), F.sum("n").over(so_far).alias("c_n"), F.sum("bytes").over(so_far).alias("c_bytes"))
 
 
+def window_latency(rows: DataFrame, width_ms: int, ts: str = "ts_ms", latency: str = "latency_ms", points: dict[str, float] | None = None) -> DataFrame:
+    """window_ms, avg_ms, p50_ms to p999_ms and max_ms of each aligned window, and cumulative c_avg_ms and c_max_ms.
+
+    The running values go over windows, one row each.
+    """
+    points = points or {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99, "p999_ms": 0.999}
+    rows = rows.select((F.floor(F.col(ts) / width_ms) * width_ms).cast("long").alias("window_ms"), F.col(latency).alias("__x"))
+    stats = rows.groupBy("window_ms").agg(F.sum("__x").alias("__sum"), F.count("__x").alias("__n"), F.max("__x").alias("max_ms"))
+    ranks = percentiles(rows, ["window_ms"], "__x", points)
+    so_far = Window.orderBy("window_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mean = F.sum("__sum").over(so_far) / F.greatest(F.sum("__n").over(so_far), F.lit(1))
+    return stats.join(ranks, "window_ms", "left").select("window_ms", (F.col("__sum") / F.greatest(F.col("__n"), F.lit(1))).alias("avg_ms"), *points, "max_ms", mean.alias("c_avg_ms"), F.max("max_ms").over(so_far).alias("c_max_ms"))
+
+
+def due_ms(nth: Column, per_second: float) -> Column:
+    """Milliseconds after the start at which a throttled producer may send its ``nth`` record (from 0); 0 where unthrottled."""
+    return F.floor(nth * F.lit(1000.0) / F.lit(per_second)).cast("long") if per_second > 0 else F.lit(0).cast("long")
+
+
 def latency_ms(sent_ns: Column, received_ns: Column) -> Column:
     """Whole milliseconds, never negative."""
     return F.greatest(F.lit(0), F.floor((received_ns - sent_ns) / 1_000_000)).cast("long")

@@ -51,6 +51,46 @@ def compact_tombstone(spark, d):
     return compaction.expire_tombstones(kept, now, 21_600_000).select("part", "k", "v", "off")
 
 
+@query(
+    "compact_tombstone_append",
+    f"""WITH {BATCH_SQL}, kept AS (SELECT * FROM log QUALIFY k IS NULL OR row_number() OVER (PARTITION BY part, k ORDER BY off DESC) = 1),
+timed AS (SELECT kept.*, CASE WHEN kept.part % 2 = 1 THEN max_ts ELSE ts_ms END AS aged FROM kept JOIN batches b ON b.part = kept.part AND b.batch_no = kept.off // 16)
+SELECT part, k, v, off FROM timed WHERE NOT (k IS NOT NULL AND v IS NULL AND aged > 0 AND (SELECT max(ts_ms) FROM log) - aged > 21600000)""",
+)
+def compact_tombstone_append(spark, d):
+    """Odd partitions age by the time that the broker stamped on the whole batch."""
+    log = L.records(spark, d)
+    rows = log.withColumn("batch_no", F.floor(F.col("off") / L.BATCH).cast("long")).join(L.batches(log).select("part", "batch_no", "max_ts"), ["part", "batch_no"])
+    kept, now = with_now(compaction.latest_per_key(rows.withColumn("aged", compaction.record_time(F.col("part") % 2 == 1))), log)
+    return compaction.expire_tombstones(kept, now, 21_600_000, ts="aged").select("part", "k", "v", "off")
+
+
+@query(
+    "compact_watermarks",
+    f"""WITH {OBJECT_SQL}, kept AS (SELECT part, off // 512 AS window_id, max(off) AS off FROM log WHERE k IS NOT NULL AND off IN (SELECT max(off) FROM log l WHERE l.part = log.part AND l.k = log.k) GROUP BY ALL)
+SELECT o.part, object_no AS window_id, coalesce(off, last_offset) AS watermark FROM objects o LEFT JOIN kept k ON k.part = o.part AND k.window_id = o.object_no""".replace("off IN (SELECT max(off) FROM log l WHERE l.part = log.part AND l.k = log.k)", "(part, k, off) IN (SELECT part, k, max(off) FROM log GROUP BY part, k)"),
+)
+def compact_watermarks(spark, d):
+    """Windows of one object; of most nothing is left, and the end that they had counts."""
+    log = L.records(spark, d)
+    kept = compaction.latest_per_key(log, keep_null=False).select("part", F.floor(F.col("off") / L.OBJECT).cast("long").alias("window_id"), "off")
+    return compaction.cleaned_up_to(L.objects(L.batches(log)).withColumnRenamed("object_no", "window_id"), kept)
+
+
+@query("object_sizing", f"WITH {BATCH_SQL} SELECT part, base_offset, coalesce(sum(batch_length) OVER (PARTITION BY part ORDER BY base_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4096 AS object_no FROM batches".replace("coalesce(sum", "CAST(coalesce(sum").replace("// 4096", "// 4096 AS BIGINT)"))
+def object_sizing(spark, d):
+    """Batches of each partition into objects of about 4 kB."""
+    return ingest.object_numbers(L.batches(L.records(spark, d)), 4096, 256).select("part", "base_offset", "object_no")
+
+
+@query("flush_due", f"WITH {BATCH_SQL}, p AS (SELECT part, sum(batch_length) AS sealed_bytes, min(base_ts) AS oldest_ms FROM batches WHERE batch_no % 8 = part GROUP BY part) SELECT part, CAST(sealed_bytes AS BIGINT) AS sealed_bytes, oldest_ms, sealed_bytes < (SELECT avg(sealed_bytes) FROM p) AS whole FROM p")
+def flush_due(spark, d):
+    """Partitions with more sealed bytes than the mean flush these; the others are old enough to flush all."""
+    rows = L.batches(L.records(spark, d)).where("batch_no % 8 = part").groupBy("part").agg(F.sum("batch_length").cast("long").alias("sealed_bytes"), F.min("base_ts").alias("oldest_ms"))
+    mean = rows.agg(F.avg("sealed_bytes")).first()[0]
+    return ingest.flush_due(rows, mean, 1000, 1 << 60)
+
+
 @query("compact_windowed", f"WITH {LOG_SQL} SELECT part, off // 1024 AS window_id, k, off FROM log QUALIFY k IS NULL OR row_number() OVER (PARTITION BY part, off // 1024, k ORDER BY off DESC) = 1")
 def compact_windowed(spark, d):
     log = L.records(spark, d).withColumn("window_id", F.floor(F.col("off") / 1024).cast("long"))
@@ -125,9 +165,16 @@ def compact_backoff(spark, d):
     return spark.range(20).select(F.col("id").alias("failures"), compaction.backoff(F.col("id"), 120_000).alias("wait_ms"))
 
 
-@query("compact_pack")
+@query(
+    "compact_pack",
+    f"""WITH RECURSIVE {CLEANED_SQL}, a AS (SELECT part, max(base_offset) AS anchor FROM objects JOIN cleaned USING (part) WHERE base_offset <= cleaned_up_to GROUP BY part),
+o AS (SELECT part, base_offset, data_size, row_number() OVER (PARTITION BY part ORDER BY base_offset) AS rn FROM objects LEFT JOIN a USING (part) WHERE anchor IS NULL OR base_offset >= anchor),
+p AS (SELECT part, rn, base_offset, CAST(0 AS BIGINT) AS window_id, data_size AS used FROM o WHERE rn = 1
+  UNION ALL SELECT o.part, o.rn, o.base_offset, p.window_id + CASE WHEN p.used + o.data_size > 60000 THEN 1 ELSE 0 END, CASE WHEN p.used + o.data_size > 60000 THEN o.data_size ELSE p.used + o.data_size END FROM p JOIN o ON o.part = p.part AND o.rn = p.rn + 1)
+SELECT part, base_offset, window_id FROM p QUALIFY count(*) OVER (PARTITION BY part, window_id) > 1""",
+)
 def compact_pack(spark, d):
-    """Windows of at most 60 kB from each anchor on; packing is a fold, which SQL can't say: tested by vectors."""
+    """Windows of at most 60 kB from each anchor on."""
     objects = L.objects(L.batches(L.records(spark, d)))
     return compaction.windows(objects.withColumn("modified_ms", F.col("max_ts")), cleaned_of(objects), 60_000, 1 << 60).select("part", "base_offset", "window_id")
 
@@ -165,14 +212,47 @@ def fetch_maxbytes(spark, d):
     return scan.fetch(batches, wanted).select("request_id", "part", "base_offset", "running_bytes")
 
 
-@query("fetch_response_trim")
+@query(
+    "fetch_response_trim",
+    f"""WITH RECURSIVE {BATCH_SQL}, n AS (SELECT batch_no * 4 + part AS n, batch_length AS size FROM batches),
+s AS (SELECT n // 8 AS response_id, n % 8 AS seq, size, row_number() OVER (PARTITION BY n // 8 ORDER BY n % 8) AS rn FROM n),
+t AS (SELECT response_id, rn, seq, size, size > 0 AS kept, size AS used FROM s WHERE rn = 1
+  UNION ALL SELECT s.response_id, s.rn, s.seq, s.size, s.size > 0 AND (t.used = 0 OR t.used + s.size <= 1500), t.used + CASE WHEN s.size > 0 AND (t.used = 0 OR t.used + s.size <= 1500) THEN s.size ELSE 0 END FROM t JOIN s ON s.response_id = t.response_id AND s.rn = t.rn + 1)
+SELECT response_id, seq, size FROM t WHERE kept""",
+)
 def fetch_response_trim(spark, d):
-    """Greedy trimming of answers of eight parts each: an ordered fold, tested by vectors."""
+    """Greedy trimming of answers of eight parts each."""
     batches = L.batches(L.records(spark, d))
     sized = batches.select((F.col("batch_no") * 4 + F.col("part")).alias("n"), F.col("batch_length").alias("size")).select(F.floor(F.col("n") / 8).cast("long").alias("response_id"), (F.col("n") % 8).alias("seq"), "size")
     return scan.trim_response(sized, 1500)
 
 
+RESPONSE_SQL = f"""{BATCH_SQL}, {REQUEST_SQL}, state AS (SELECT part, max(off) + 1 AS hw FROM log GROUP BY part),
+wanted AS (SELECT request_id % 10 AS response_id, part AS seq, request_id, part, off FROM requests UNION ALL SELECT i, 9, 90 + i, 9, 0 FROM range(0, 8) t(i)),
+coded AS (SELECT w.*, hw, CASE WHEN hw IS NULL THEN 3 WHEN off < 3 OR off > hw THEN 1 ELSE 0 END AS error_code FROM wanted w LEFT JOIN state USING (part)),
+found AS (SELECT request_id, batch_length, row_number() OVER w AS rn, sum(batch_length) OVER w AS running FROM coded c JOIN batches b ON b.part = c.part AND last_offset >= off WHERE error_code = 0
+  WINDOW w AS (PARTITION BY request_id ORDER BY base_offset ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sized AS (SELECT request_id, count(*) AS n, sum(batch_length) AS bytes FROM found WHERE rn = 1 OR running <= 2000 GROUP BY request_id),
+s AS (SELECT c.*, coalesce(n, 0) AS n, coalesce(bytes, 0) AS bytes, row_number() OVER (PARTITION BY response_id ORDER BY seq) AS rn FROM coded c LEFT JOIN sized USING (request_id)),
+t AS (SELECT response_id, rn, bytes > 0 AS kept, bytes AS used FROM s WHERE rn = 1
+  UNION ALL SELECT s.response_id, s.rn, s.bytes > 0 AND (t.used = 0 OR t.used + s.bytes <= 4000), t.used + CASE WHEN s.bytes > 0 AND (t.used = 0 OR t.used + s.bytes <= 4000) THEN s.bytes ELSE 0 END FROM t JOIN s ON s.response_id = t.response_id AND s.rn = t.rn + 1)"""
+
+
+@query(
+    "fetch_response",
+    f"""WITH RECURSIVE {RESPONSE_SQL} SELECT CAST(request_id AS BIGINT) AS request_id, part, error_code, coalesce(hw, -1) AS hw, coalesce(hw, -1) AS lso, CAST(CASE WHEN kept THEN n ELSE 0 END AS BIGINT) AS n_batches, CAST(CASE WHEN kept THEN bytes ELSE 0 END AS BIGINT) AS bytes, kept
+FROM s JOIN t USING (response_id, rn)""",
+)
+def fetch_response(spark, d):
+    """Requests for five partitions each, one of them unknown, at 2000 bytes a partition and 4000 a response."""
+    batches = L.batches(L.records(spark, d))
+    state = state_of(batches).withColumns({"log_start": F.lit(3).cast("long"), "lso": F.col("hw")}).select("part", "log_start", "hw", "lso")
+    known = requests_of(spark, batches).select((F.col("request_id") % 10).alias("response_id"), F.col("part").alias("seq"), "request_id", "part", "off")
+    i = F.col("id")
+    unknown = spark.range(8).select(i.alias("response_id"), F.lit(9).alias("seq"), (i + 90).alias("request_id"), F.lit(9).alias("part"), F.lit(0).cast("long").alias("off"))
+    return scan.fetch_response(batches, known.unionByName(unknown).withColumn("max_bytes", F.lit(2000)), state, 4000)
+
+
 GAP = "batch_no % 60 <> 37"
 
 
@@ -252,6 +332,26 @@ def ts_lookup(spark, d):
     return lookup.offset_for_time(batches, span.join(F.broadcast(spark.range(11))).select("part", t.cast("long").alias("t")))
 
 
+@query(
+    "list_offsets",
+    f"""WITH {BATCH_SQL}, {TIMES_SQL}, state AS (SELECT part, min(base_offset) AS log_start, max(last_offset) + 1 AS hw, max(max_ts) AS max_ts, max_by(last_offset, (max_ts, base_offset)) AS max_off FROM batches GROUP BY part),
+r AS (SELECT CAST(p AS INT) AS part, t, c AS committed FROM range(0, 6) a(p), (VALUES (-1), (-2), (-3)) b(t), (VALUES (true), (false)) x(c) UNION ALL SELECT part, t, false FROM times),
+hits AS (SELECT part, t, min_by(base_offset, base_offset) AS o, min_by(max_ts, base_offset) AS m FROM times JOIN batches USING (part) WHERE max_ts >= t GROUP BY ALL)
+SELECT r.part, CAST(r.t AS BIGINT) AS t, committed, CASE WHEN hw IS NULL THEN 3 ELSE 0 END AS error_code,
+  CAST(CASE WHEN hw IS NULL THEN -1 WHEN r.t = -1 THEN CASE WHEN committed THEN hw - 7 ELSE hw END WHEN r.t = -2 THEN log_start WHEN r.t = -3 THEN max_off ELSE coalesce(o, -1) END AS BIGINT) AS off,
+  CAST(CASE WHEN hw IS NULL THEN -1 WHEN r.t = -3 THEN state.max_ts WHEN r.t >= 0 THEN coalesce(m, -1) ELSE -1 END AS BIGINT) AS ts_ms
+FROM r LEFT JOIN state USING (part) LEFT JOIN hits h ON h.part = r.part AND h.t = r.t""",
+)
+def list_offsets(spark, d):
+    batches = L.batches(L.records(spark, d))
+    state = state_of(batches).withColumn("lso", F.col("hw") - 7)
+    span = batches.groupBy("part").agg(F.min("base_ts").alias("lo"), F.max("max_ts").alias("hi"))
+    t = F.floor((F.col("hi") - F.col("lo")) * F.col("id") / 10) + F.col("lo") + 1
+    timed = span.join(F.broadcast(spark.range(11))).select("part", t.cast("long").alias("t"), F.lit(False).alias("committed"))
+    special = spark.createDataFrame([(p, t, c) for p in range(6) for t in (-1, -2, -3) for c in (True, False)], "part int, t long, committed boolean")
+    return lookup.list_offsets(batches, state, special.unionByName(timed))
+
+
 @query("footer_stats", f"WITH {OBJECT_SQL} SELECT part, object_no, base_offset, last_offset, max_ts, data_size, record_count, batch_count FROM objects")
 def footer_stats(spark, d):
     return L.objects(L.batches(L.records(spark, d))).select("part", "object_no", "base_offset", "last_offset", "max_ts", "data_size", "record_count", "batch_count")
@@ -448,3 +548,17 @@ def object_records(spark, d):
 @query("object_footers", f"WITH {BATCH_SQL} SELECT part, base_offset, last_offset, max_ts, CAST(num_records AS INT) AS num_records FROM batches")
 def object_footers(spark, d):
     return object_files.footers(as_objects(spark, d, 1)).select("part", "base_offset", "last_offset", "max_ts", "num_records")
+
+
+@query(
+    "object_damage",
+    f"""WITH {LOG_SQL}, d AS (SELECT *, off // 512 % 2 = 1 AND off % 512 < 16 AS bad FROM log)
+SELECT part, off, off // 16 * 16 AS base_offset, false AS bad FROM d WHERE NOT bad UNION ALL SELECT part, NULL, off // 16 * 16, true FROM d WHERE bad GROUP BY part, off // 16""",
+)
+def object_damage(spark, d):
+    """Every other object with a damaged first batch: that one is told, the rest is read."""
+    files = as_objects(spark, d, 1)
+    odd = F.floor(F.regexp_extract("path", r"(\d+)\.obj$", 1).cast("long") / L.OBJECT) % 2 == 1
+    hurt = F.overlay("content", F.lit(b"\xde\xad\xbe\xef\xde\xad\xbe\xef"), F.lit(66))
+    back = object_files.decoded(files.withColumn("content", F.when(odd, hurt).otherwise(F.col("content"))))
+    return back.select("part", "off", "base_offset", F.col("error").isNotNull().alias("bad"))

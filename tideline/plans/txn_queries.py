@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytes_ as B
@@ -83,14 +83,72 @@ def dedup_exact(spark, d):
     return ingest.dedup_exact(sequenced(L.records(spark, d))).select("part", "producer_id", "seq", "arrival", "error_code", "result_offset", "duplicate")
 
 
+EPOCH_SQL = f"""{LOG_SQL}, half AS (SELECT max(event_id) // 2 AS h FROM log), e AS (SELECT part, producer_id // 4 AS producer_id, CASE WHEN event_id >= h THEN 1 ELSE 0 END AS epoch, event_id, off FROM log, half),
+q AS (SELECT *, row_number() OVER (PARTITION BY part, producer_id, epoch ORDER BY event_id) - 1 AS seq FROM e)"""
+
+
+def epoch_sends(log: DataFrame) -> DataFrame:
+    """Two producers over all partitions, whose epoch rises halfway; with resends, stale epochs and gaps behind some batches."""
+    half = log.agg(F.floor(F.max("event_id") / 2).alias("h"))  # one row
+    rows = log.join(F.broadcast(half)).select("part", F.floor(F.col("producer_id") / 4).alias("producer_id"), F.when(F.col("event_id") >= F.col("h"), 1).otherwise(0).alias("epoch"), "event_id", "off")
+    seq = F.row_number().over(Window.partitionBy("part", "producer_id", "epoch").orderBy("event_id")) - 1
+    rows = rows.withColumns({"seq": seq.cast("long"), "n": F.lit(1), "arrival": F.col("event_id") * 4})
+    id_ = F.col("event_id")
+    again = rows.where(id_ % 10 == 0).withColumn("arrival", id_ * 4 + 1)
+    stale = rows.where((id_ % 20 == 0) & (F.col("epoch") == 1)).withColumns({"arrival": id_ * 4 + 2, "epoch": F.lit(0), "seq": F.lit(0).cast("long")})
+    gap = rows.where(id_ % 33 == 0).withColumns({"arrival": id_ * 4 + 3, "seq": F.col("seq") + 7})
+    return rows.unionByName(again).unionByName(stale).unionByName(gap).select("part", "producer_id", "epoch", "seq", "n", "arrival", "off")
+
+
+@query(
+    "dedup_epochs",
+    f"""WITH {EPOCH_SQL} SELECT part, producer_id, epoch, event_id * 4 AS arrival, 0 AS error_code, off AS result_offset, false AS duplicate FROM q
+UNION ALL SELECT part, producer_id, epoch, event_id * 4 + 1, 0, off, true FROM q WHERE event_id % 10 = 0
+UNION ALL SELECT part, producer_id, 0, event_id * 4 + 2, 90, -1, false FROM q WHERE event_id % 20 = 0 AND epoch = 1
+UNION ALL SELECT part, producer_id, epoch, event_id * 4 + 3, 45, -1, false FROM q WHERE event_id % 33 = 0""",
+)
+def dedup_epochs(spark, d):
+    return ingest.dedup_exact(epoch_sends(L.records(spark, d))).select("part", "producer_id", "epoch", "arrival", "error_code", "result_offset", "duplicate")
+
+
+@query(
+    "produce",
+    f"""WITH {SEND_SQL}, good AS (SELECT part, arrival * 2 AS arrival, arrival AS sent FROM sends WHERE arrival % 2 = 0 UNION ALL SELECT part, event_id * 4 + 3, NULL FROM log WHERE event_id % 15 = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY arrival) - 1 + CASE WHEN part < 2 THEN 1000 ELSE 0 END AS base_offset FROM good)
+SELECT part, CAST(arrival AS BIGINT) AS arrival, 0 AS error_code, CAST(base_offset AS BIGINT) AS base_offset, false AS duplicate FROM placed
+UNION ALL SELECT s.part, s.arrival * 2, 0, p.base_offset, true FROM sends s JOIN placed p ON p.part = s.part AND p.sent = s.arrival - 1 WHERE s.arrival % 2 = 1
+UNION ALL SELECT part, event_id * 4 + 1, 2, -1, false FROM log WHERE event_id % 9 = 4""",
+)
+def produce(spark, d):
+    """Batches of one record: sends and resends, batches without a producer, and damaged ones, appended to logs that partly exist."""
+    log = L.records(spark, d)
+    size = {"n_parts": F.lit(4), "raw_length": F.lit(100), "declared_length": F.lit(88), "magic": F.lit(2), "epoch": F.lit(0), "n": F.lit(1)}
+    sent = L.sends(log).withColumn("arrival", F.col("arrival") * 2)
+    none = {"producer_id": F.lit(-1).cast("long"), "seq": F.lit(-1).cast("long")}
+    plain = log.where("event_id % 15 = 1").withColumns({**none, "arrival": F.col("event_id") * 4 + 3})
+    hurt = log.where("event_id % 9 = 4").withColumns({**none, "arrival": F.col("event_id") * 4 + 1})
+    columns = ["part", "producer_id", "seq", "arrival"]
+    batches = sent.select(*columns).unionByName(plain.select(*columns)).withColumns(size).unionByName(hurt.select(*columns).withColumns({**size, "raw_length": F.lit(40)}))
+    prior = spark.createDataFrame([(0, 1000), (1, 1000)], "part int, hw long")
+    return ingest.append(batches, 300, prior)
+
+
+@query("append_batches", f"WITH {BATCH_SQL}, n AS (SELECT max(ts_ms) AS now_ms FROM log) SELECT part, batch_no, CASE WHEN part % 2 = 1 THEN now_ms ELSE base_ts END AS base_ts, CASE WHEN part % 2 = 1 THEN now_ms ELSE max_ts END AS max_ts, CASE WHEN part % 2 = 1 THEN 12 ELSE 4 END AS attributes FROM batches, n")
+def append_batches(spark, d):
+    """Odd partitions take the broker's time: both times of a batch, and the bit that says so."""
+    log = L.records(spark, d)
+    rows, now = with_now(L.batches(log).withColumn("attributes", F.lit(4)), log)
+    return ingest.stamp_batches(rows, now, F.col("part") % 2 == 1).select("part", "batch_no", "base_ts", "max_ts", "attributes")
+
+
 @query("new_topics", "SELECT DISTINCT event_type AS name FROM events WHERE event_type NOT IN ('view', 'click')")
 def new_topics(spark, d):
     return ingest.new_topics(L.table(spark, d, "events").select(F.col("event_type").alias("name")), spark.createDataFrame([("view",), ("click",)], "name string"))
 
 
-@query("partition_spread")
+@query("partition_spread", f"WITH {LOG_SQL} SELECT CAST(CAST('0x' || left(md5(k), 8) AS BIGINT) % 8 AS INT) AS target, count(DISTINCT k) AS n_keys FROM log WHERE k IS NOT NULL GROUP BY ALL")
 def partition_spread(spark, d):
-    """Keys over partitions by hash; not the hash of any other client, so rows only."""
+    """Keys over partitions by hash."""
     return L.records(spark, d).where("k IS NOT NULL").groupBy(ingest.partition_of(F.col("k"), 8).alias("target")).agg(F.count_distinct("k").alias("n_keys"))
 
 
@@ -157,7 +215,7 @@ def describe_producers(spark, d):
     return txn.describe_producers(L.sends(log), L.transactions(log))
 
 
-STAGED_SQL = f"{TXN_SQL}, staged AS (SELECT producer_id, txn_no, 'g' || (event_id % 3) AS grp, part, off AS committed, event_id AS commit_seq FROM ranked WHERE off % 10 = 0)"
+STAGED_SQL = f"{TXN_SQL}, staged AS (SELECT producer_id, txn_no, 'g' || (event_id % 3) AS grp, part, off AS committed, event_id AS commit_seq FROM ranked)"
 
 
 @query("txn_offsets", f"WITH {STAGED_SQL} SELECT grp, part, max_by(committed, commit_seq) AS committed FROM staged SEMI JOIN (SELECT producer_id, txn_no FROM txns WHERE outcome = 'commit') USING (producer_id, txn_no) GROUP BY grp, part")
@@ -165,24 +223,74 @@ def txn_offsets(spark, d):
     log = L.records(spark, d)
     txns = L.transactions(log)
     member = log.join(txns.select("part", "producer_id", "txn_no", "first_offset", "last_offset"), ["part", "producer_id"]).where(F.col("off").between(F.col("first_offset"), F.col("last_offset")))
-    staged = member.where("off % 10 = 0").select("producer_id", "txn_no", F.concat(F.lit("g"), (F.col("event_id") % 3).cast("string")).alias("grp"), "part", F.col("off").alias("committed"), F.col("event_id").alias("commit_seq"))
+    staged = member.select("producer_id", "txn_no", F.concat(F.lit("g"), (F.col("event_id") % 3).cast("string")).alias("grp"), "part", F.col("off").alias("committed"), F.col("event_id").alias("commit_seq"))
     return txn.visible_txn_offsets(staged, txns)
 
 
-INIT_SQL = "req AS (SELECT event_id AS seq, CASE WHEN event_type <> 'view' THEN 'txn-' || (user_id % 50) END AS txn_id FROM events WHERE event_id % 5 = 0)"
+INIT_SQL = "req AS (SELECT event_id AS seq, CASE WHEN event_type <> 'view' THEN 'txn-' || (user_id % 50) END AS txn_id FROM events)"
 
 
 @query(
     "init_producers",
-    f"""WITH {INIT_SQL}, n AS (SELECT *, CASE WHEN txn_id IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY txn_id ORDER BY seq) - 1 END AS epoch FROM req),
-f AS (SELECT seq, txn_id, row_number() OVER (ORDER BY seq) - 1 AS pid FROM n WHERE epoch = 0)
-SELECT n.seq, n.txn_id, CAST(f.pid AS BIGINT) AS producer_id, CAST(n.epoch AS INT) AS epoch FROM n JOIN f ON (n.txn_id IS NULL AND f.seq = n.seq) OR f.txn_id = n.txn_id""",
+    f"""WITH {INIT_SQL}, n AS (SELECT *, coalesce(txn_id, '#' || seq) AS who, CASE WHEN txn_id IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY txn_id ORDER BY seq) - 1 END AS nth FROM req),
+f AS (SELECT who, nth // 32768 AS era, row_number() OVER (ORDER BY seq) - 1 AS pid FROM n WHERE nth % 32768 = 0)
+SELECT n.seq, n.txn_id, CAST(f.pid AS BIGINT) AS producer_id, CAST(n.nth % 32768 AS INT) AS epoch FROM n JOIN f ON f.who = n.who AND f.era = n.nth // 32768""",
 )
 def init_producers(spark, d):
-    e = L.table(spark, d, "events").where("event_id % 5 = 0")
+    e = L.table(spark, d, "events")
     return txn.init_producers(e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") != "view", F.concat(F.lit("txn-"), (F.col("user_id") % 50).cast("string"))).alias("txn_id")))
 
 
+#: Producers 0 to 49 of epoch 2 in all three states; requests of every event.
+END_SQL = """p AS (SELECT i AS producer_id, 2 AS epoch, CASE i % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'Ongoing' ELSE 'Ending' END AS state, i % 2 = 0 AS ending, i % 4 < 2 AS last FROM range(0, 50) t(i)),
+r AS (SELECT event_id, user_id % 60 AS producer_id, event_id % 4 AS epoch, event_id % 3 = 0 AS commit, event_id % 5 <> 0 AS success FROM events)"""
+
+
+def ends(spark, d) -> tuple[DataFrame, DataFrame]:
+    i = F.col("id")
+    known = spark.range(50).select(i.alias("producer_id"), F.lit(2).cast("long").alias("epoch"), F.when(i % 3 == 0, "None").when(i % 3 == 1, "Ongoing").otherwise("Ending").alias("state"), (i % 2 == 0).alias("ending"), (i % 4 < 2).alias("last"))
+    id_ = F.col("event_id")
+    return L.table(spark, d, "events").select("event_id", (F.col("user_id") % 60).alias("producer_id"), (id_ % 4).alias("epoch"), (id_ % 3 == 0).alias("commit"), (id_ % 5 != 0).alias("success")), known
+
+
+@query(
+    "end_txn",
+    f"""WITH {END_SQL}, c AS (SELECT r.*, p.state AS was, CASE WHEN p.epoch IS NULL THEN 3 WHEN r.epoch < p.epoch THEN 90 WHEN r.epoch > p.epoch THEN 47 WHEN p.state = 'Ongoing' THEN 0 WHEN p.state = 'Ending' AND ending = commit THEN 0 WHEN p.state = 'None' AND last = commit THEN 0 ELSE 53 END AS error_code FROM r LEFT JOIN p USING (producer_id))
+SELECT event_id, error_code, CASE WHEN error_code = 0 AND was = 'Ongoing' THEN 'Ending' ELSE was END AS state FROM c""",
+)
+def end_txn(spark, d):
+    return txn.prepare_end(*ends(spark, d)).select("event_id", "error_code", "state")
+
+
+@query(
+    "end_txn_finish",
+    f"""WITH {END_SQL}, c AS (SELECT r.*, p.state AS was, last, p.state = 'Ending' AND ending = commit AS moves, CASE WHEN p.epoch IS NULL THEN 3 WHEN r.epoch < p.epoch THEN 90 WHEN r.epoch > p.epoch THEN 47 WHEN p.state = 'Ending' AND ending = commit THEN 0 WHEN p.state = 'None' AND last = commit THEN 0 ELSE 53 END AS error_code FROM r LEFT JOIN p USING (producer_id))
+SELECT event_id, error_code, CASE WHEN error_code = 0 AND moves THEN CASE WHEN success THEN 'None' ELSE 'Ongoing' END ELSE was END AS state, CASE WHEN error_code = 0 AND moves AND success THEN commit ELSE last END AS last FROM c""",
+)
+def end_txn_finish(spark, d):
+    return txn.finish_end(*ends(spark, d)).select("event_id", "error_code", "state", "last")
+
+
+@query(
+    "txn_markers",
+    f"WITH {TXN_SQL}, s AS (SELECT part, max(last_offset) + 1 AS hw FROM batches GROUP BY part), e AS (SELECT DISTINCT part, producer_id FROM log) SELECT part, producer_id, hw + row_number() OVER (PARTITION BY part ORDER BY producer_id) - 1 AS off, 48 AS attributes, -1 AS seq, CASE WHEN producer_id % 3 = 0 THEN '00000001' ELSE '00000000' END AS key FROM e JOIN s USING (part)",
+)
+def txn_markers(spark, d):
+    """A control record for each producer and partition behind the log."""
+    log = L.records(spark, d)
+    ended = log.select("part", "producer_id").distinct().withColumns({"epoch": F.lit(0), "commit": F.col("producer_id") % 3 == 0})
+    return txn.markers(ended, state_of(L.batches(log))).select("part", "producer_id", "off", "attributes", "seq", F.hex("key").alias("key"))
+
+
+@query("txn_groups", "SELECT DISTINCT 't' || (user_id % 6) AS txn_id, 'g' || (event_id % 4) AS grp FROM events WHERE user_id % 6 < 4 AND event_id % 5 <> 0")
+def txn_groups(spark, d):
+    """Requests of every event to add a group: one id unknown, one in a state that can't take it, a fifth with an old epoch."""
+    i, u = F.col("id"), F.col("user_id") % 6
+    rows = L.table(spark, d, "events").select(F.concat(F.lit("t"), u.cast("string")).alias("txn_id"), u.alias("producer_id"), F.when(F.col("event_id") % 5 == 0, 0).otherwise(1).alias("epoch"), F.concat(F.lit("g"), (F.col("event_id") % 4).cast("string")).alias("grp"))
+    known = spark.range(5).select(F.concat(F.lit("t"), i.cast("string")).alias("txn_id"), i.alias("producer_id"), F.lit(1).alias("epoch"), F.when(i == 4, "PrepareCommit").otherwise("Ongoing").alias("state"))
+    return txn.add_groups(rows, known)
+
+
 @query(
     "txn_gate",
     """WITH r AS (SELECT i AS id, 't' || (i % 6) AS txn_id, i % 6 + CASE WHEN i % 7 = 0 THEN 1 ELSE 0 END AS pid, CASE WHEN i % 5 = 0 THEN 0 ELSE 1 END AS epoch FROM range(0, 60) t(i))
@@ -380,6 +488,11 @@ def configs(spark, d):
     return catalog.describe_configs(topics_of(spark, d))
 
 
+@query("broker_configs", "SELECT '7' AS name, 'broker.id' AS config, '7' AS value, false AS is_default, true AS read_only")
+def broker_configs(spark, d):
+    return catalog.describe_broker(spark, 7)
+
+
 CHANGE_SQL = f"{TOPIC_SQL}, c AS (SELECT name, 'retention.ms' AS config, '1' AS value FROM topics UNION ALL SELECT name, 'segment.bytes', '2' FROM topics)"
 
 
@@ -461,6 +574,22 @@ def probe_watermarks(spark, d):
     return catalog.raise_watermarks(found.withColumn("hw", F.lit(1000).cast("long")), found)
 
 
+@query("replay_log_starts", f"WITH {BATCH_SQL}, s AS (SELECT part, max(last_offset) + 1 AS hw FROM batches GROUP BY part), r AS (SELECT part, max(base_offset) + CASE WHEN part = 1 THEN 1000 ELSE 0 END AS log_start FROM batches WHERE part < 3 AND batch_no % 9 = 1 GROUP BY part) SELECT part, coalesce(r.log_start, 0) AS log_start, greatest(hw, coalesce(r.log_start, 0)) AS hw FROM s LEFT JOIN r USING (part)")
+def replay_log_starts(spark, d):
+    batches = L.batches(L.records(spark, d))
+    starts = batches.where("part < 3 AND batch_no % 9 = 1").select("part", (F.col("base_offset") + F.when(F.col("part") == 1, 1000).otherwise(0)).alias("log_start"))
+    return catalog.replay_log_starts(state_of(batches).select("part", F.lit(0).cast("long").alias("log_start"), "hw"), starts)
+
+
+@query("promoted", f"WITH {BATCH_SQL}, m AS (SELECT part, max(last_offset) - 100 * (part + 1) AS wm FROM batches GROUP BY part) SELECT part, base_offset, last_offset FROM batches JOIN m USING (part) WHERE last_offset >= wm")
+def promoted(spark, d):
+    """The batches that a promoted broker takes back into memory."""
+    batches = L.batches(L.records(spark, d))
+    state = state_of(batches)
+    marks = state.select("part", (F.col("hw") - 1 - 100 * (F.col("part") + 1)).alias("wm"))
+    return catalog.promoted(batches, state.select("part", "hw"), marks)[1].select("part", "base_offset", "last_offset")
+
+
 # Telemetry
 
 SIZE_SQL = f"{LOG_SQL}, sized AS (SELECT *, coalesce(length(k), 0) + coalesce(length(v), 0) AS bytes FROM log)"
@@ -476,6 +605,20 @@ def window_stats(spark, d):
     return telemetry.window_stats(L.records(spark, d).withColumn("bytes", size), 3_600_000)
 
 
+LATENCY_SQL = f"{LOG_SQL}, l AS (SELECT ts_ms // 3600000 * 3600000 AS window_ms, (event_id * 7919) % 997 AS x FROM log)"
+
+
+@query(
+    "window_latency",
+    f"""WITH {LATENCY_SQL}, w AS (SELECT window_ms, sum(x) AS s, count(*) AS n, max(x) AS max_ms, list_sort(list(x)) AS xs FROM l GROUP BY window_ms)
+SELECT window_ms, CAST(s AS DOUBLE) / n AS avg_ms, xs[CAST(least(floor(n * 0.5), n - 1) AS BIGINT) + 1] AS p50_ms, xs[CAST(least(floor(n * 0.95), n - 1) AS BIGINT) + 1] AS p95_ms, xs[CAST(least(floor(n * 0.99), n - 1) AS BIGINT) + 1] AS p99_ms, xs[CAST(least(floor(n * 0.999), n - 1) AS BIGINT) + 1] AS p999_ms, max_ms,
+  CAST(sum(s) OVER o AS DOUBLE) / sum(n) OVER o AS c_avg_ms, max(max_ms) OVER o AS c_max_ms FROM w WINDOW o AS (ORDER BY window_ms)""",
+)
+def window_latency(spark, d):
+    rows = L.records(spark, d).withColumn("latency_ms", (F.col("event_id") * 7919) % 997)
+    return telemetry.window_latency(rows, 3_600_000)
+
+
 POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
 
@@ -559,7 +702,7 @@ def group_replay(spark, d):
         "ts_ms",
         kind.alias("kind"),
         F.col("user_id").cast("string").alias("member_id"),
-        F.lit(None).cast("string").alias("instance_id"),
+        F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("s"), (F.col("user_id") % 8).cast("string"))).alias("instance_id"),
         F.array(F.lit("range")).alias("protocols"),
         F.lit(3_600_000).cast("long").alias("timeout_ms"),
         F.lit(1).alias("generation"),
