@@ -64,22 +64,27 @@ def exact_truth(rows):
     return {i: (min(groups[t]), len(groups[t]), i == min(groups[t])) for i, t in norm.items()}
 
 
+@pytest.mark.parametrize("digest", [None, "size"])
 @pytest.mark.parametrize("keys", [500_000, 0])
-def test_exact_dedup(make, corpus, keys):
-    got = exact_dedup.exact_dedup(make(corpus), broadcast_keys=keys)
+def test_exact_dedup(make, corpus, keys, digest):
+    got = exact_dedup.exact_dedup(make(corpus), broadcast_keys=keys, digest=digest)
+    if digest:
+        norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in corpus}
+        assert {r.doc_id: r[digest] for r in got.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in norm.items()}
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == exact_truth(corpus)
 
 
-def test_exact_dedup_heavy_group(make):
+@pytest.mark.parametrize("keys", [500_000, 0])
+def test_exact_dedup_heavy_group(make, keys):
     rows = [(i, "same  text" if i % 2 else f"other {i}") for i in range(3000)]
-    got = exact_dedup.exact_dedup(make(rows)).where("group_size > 1")
+    got = exact_dedup.exact_dedup(make(rows), broadcast_keys=keys).where("group_size > 1")
     assert got.groupBy("keep_id", "group_size").count().collect() == [(1, 1500, 1500)]
 
 
 def test_exact_dedup_nulls_and_repeats(make):
-    rows = [(None, "a"), (5, "a"), (None, None), (7, "b"), (7, "b")]
+    rows = [(None, "a"), (5, "a"), (None, None), (7, "b"), (7, "b"), (7, "c")]
     got = sorted(exact_dedup.exact_dedup(make(rows)).select("doc_id", "keep_id", "group_size", "kept").collect(), key=repr)
-    assert got == sorted([(None, 5, 2, False), (5, 5, 2, True), (None, None, 1, True), (7, 7, 2, True), (7, 7, 2, True)], key=repr)
+    assert got == sorted([(None, 5, 2, False), (5, 5, 2, True), (None, None, 1, True), (7, 7, 2, True), (7, 7, 2, True), (7, 7, 1, True)], key=repr)
     assert exact_dedup.exact_dedup(make(rows).limit(0)).count() == 0
 
 
