@@ -61,8 +61,11 @@ class CrossParser:
     the most frequent symbols are completed beforehand (a missing one ends the
     phrase and starts the next at the same character), so a step is one
     look-up for many texts at a time; those of other symbols, if there are
-    more than ``dense``, are searched for in a sorted list. Parsing starts
-    anew every ``piece`` characters, in all languages alike.
+    more than ``dense``, are searched for in a sorted list. Long texts are
+    parsed in pieces of ``piece`` characters side by side, and then as if they
+    hadn't been cut: each piece is parsed on from where the one before it
+    ended, until that parse and the piece's own are in the same state, from
+    which on they agree.
     """
 
     def __init__(self, samples: dict[str, str], piece: int = 1024, dense: int = 64):
@@ -123,6 +126,14 @@ class CrossParser:
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         return np.where(keys[at] == key, entry[at], begin[symbol])
 
+    def step(self, k: int, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Entries after ``state`` and ``symbol`` in the k-th language."""
+        rare = np.flatnonzero(symbol >= self.rare)
+        got = self.tables[k][(state >> 1) + np.minimum(symbol, self.dense - 1)]
+        if len(rare):
+            got[rare] = self.searched(self.sparse[k], state[rare], symbol[rare])
+        return got
+
     def parse(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and the symbols parsed. codes: all texts' symbols; starts: one more at the end."""
         sizes = np.diff(starts)
@@ -133,27 +144,55 @@ class CrossParser:
         begin = starts[:-1][owner] + nth * self.piece
         length = np.minimum(self.piece, sizes[owner] - nth * self.piece)
         order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        alive = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
-        out = np.zeros((len(sizes), len(self.langs)), np.int64)
-        padded = codes
+        sorted_, longest = begin[order], -length[order]
+        alive = np.searchsorted(longest, -np.arange(-longest[0] if len(longest) else 0), "left")
         states = [np.zeros(len(begin), np.int32) for _ in self.langs]
         counts = [np.zeros(len(begin), np.int32) for _ in self.langs]
         for i, n in enumerate(alive.tolist()):
-            c = padded[begin[:n] + i].astype(np.int32)
-            rare = np.flatnonzero(c >= self.rare)
-            symbol = c[rare]
-            c[rare] = self.dense - 1
-            for table, sparse, state, count in zip(self.tables, self.sparse, states, counts, strict=True):
-                got = table[(state[:n] >> 1) + c]
-                if len(rare):
-                    got[rare] = self.searched(sparse, state[:n][rare], symbol)
+            c = codes[sorted_[:n] + i].astype(np.int32)
+            for k, (state, count) in enumerate(zip(states, counts, strict=True)):
+                got = self.step(k, state[:n], c)
                 count[:n] += got & 1
                 state[:n] = got & -2
-        for k, count in enumerate(counts):
-            np.add.at(out[:, k], owner[order], count)
+        out = np.zeros((len(sizes), len(self.langs)), np.int64)
+        for k in range(len(self.langs)):
+            end, count = np.empty_like(states[k]), np.empty(len(begin), np.int64)
+            end[order], count[order] = states[k], counts[k]
+            np.add.at(out[:, k], owner, count + self.carried(k, codes, begin, length, end, nth > 0))
         return out, sizes
 
+    def carried(self, k: int, codes: np.ndarray, begin: np.ndarray, length: np.ndarray, end: np.ndarray, later: np.ndarray) -> np.ndarray:
+        """How many phrases more each piece holds when it is parsed on from the end of the one before it.
+
+        end: the state in which each piece's own parse ends; changed to that of the whole text's parse.
+        """
+        more = np.zeros(len(begin), np.int64)
+        alone = end.copy()
+        todo = np.flatnonzero(later)
+        while len(todo):
+            lane, own, on = todo, np.zeros(len(todo), np.int32), end[todo - 1]
+            more[todo] = 0
+            changed = []
+            i = 0
+            while len(lane):
+                c = codes[begin[lane] + i].astype(np.int32)
+                x, y = self.step(k, own, c), self.step(k, on, c)
+                more[lane] += (y & 1) - (x & 1)
+                own, on = x & -2, y & -2
+                i += 1
+                met, over = own == on, length[lane] == i
+                done = met | over
+                if done.any():
+                    at = lane[done]
+                    now = np.where(met[done], alone[at], on[done])
+                    changed.append(at[end[at] != now])
+                    end[at] = now
+                lane, own, on = lane[~done], own[~done], on[~done]
+            after = np.concatenate(changed) + 1
+            after = after[after < len(begin)]
+            todo = np.sort(after[later[after]])
+        return more
+
     def predict(self, texts: list[str | None]) -> tuple[list[str | None], np.ndarray]:
         """The language with the least entropy (of equals the first by name), and how far the next is behind: 0 to 1."""
         joined = "\n".join((t or "").lower().replace("\n", " ") for t in texts) + "\n"
