@@ -271,6 +271,47 @@ def test_segments(seed):
     assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_signed_log_odds_against_counting(spark, make):
+    """Every kept feature's log-odds from plain counts, under the informed prior."""
+    from collections import Counter
+
+    from tideline.llm._bytes import packed
+
+    r = random.Random(14)
+    words = [a + b for a in "bcdfg" for b in ("ana", "elo", "iru", "oka")]
+    rows, labels = [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        w = [r.choice(words) for _ in range(40)] + (["vilexyz"] * r.randint(1, 3) if bad else ["kindabc"] * r.randint(1, 3) if i % 3 else [])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    model = toxicity.train(make(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), prior=0.05)
+    count = {s: Counter() for s in (0, 1)}
+    for (_, t), (_, s) in zip(rows, labels, strict=True):
+        count[s].update(t.split())
+    total = {s: sum(c.values()) for s, c in count.items()}
+
+    def odds(word):
+        alpha = (count[0][word] + count[1][word]) * 0.05
+        side = lambda s: np.log((count[s][word] + alpha) / (total[s] + sum(total.values()) * 0.05 - count[s][word] - alpha))
+        return side(1) - side(0)
+
+    text = packed(__import__("pyarrow").array(["vilexyz bana kindabc vilexy"]))
+    at, gain, *_ = model.gains(*text)
+    got = dict(zip(at.tolist(), (gain + model.drift).tolist(), strict=True))
+    assert set(got) == {0, 2, 3} and abs(got[0] - odds("vilexyz")) < 1e-9 and abs(got[2] - odds("kindabc")) < 1e-9
+    assert odds("vilexyz") > 2 and odds("kindabc") < -2 and got[3] == got[0]  # of an unknown word, its longest known beginning counts
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_segments_with_negative_scores_of_their_own(seed):
+    r = random.Random(100 + seed)
+    scores = [r.choice([-0.3, -0.3, r.choice([-1.7, -0.31, 0.52, 0.93, 1.07])]) for _ in range(r.randint(0, 25))]
+    at = np.array([i for i, s in enumerate(scores) if s != -0.3], int)
+    got = toxicity.segments(at, np.array([scores[i] for i in at]), 0.3)
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in segments_truth(scores)]
+
+
 def test_toxicity(spark, make):
     r = random.Random(4)
     plain = [f"word{k}".replace("0", "o") for k in range(300)]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import LETTER, U, blocks, mix, tokens
+from ._common import Scratch
 
 #: A token's features: the word, and its first so many bytes where it is longer.
 PREFIXES = (4, 5, 6)
@@ -31,8 +32,8 @@ def features(buffer: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.nda
 def segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments, in linear time: (first token, token behind the last, score).
 
-    at, gain: place and score of the tokens above zero, in order; any other
-    token scores -drift.
+    at, gain: place and score of the tokens with a score of their own, in
+    order; any other token scores -drift.
     """
     stack: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum after
     total, behind = 0.0, 0
@@ -41,6 +42,8 @@ def segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int,
         first, before = p, total
         total += g
         behind = p + 1
+        if g <= 0:
+            continue
         now = (first, behind, before, total)
         while True:
             j = len(stack) - 1
@@ -56,7 +59,7 @@ def segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int,
 
 @dataclass
 class ToxicityModel:
-    """Log-odds of the features that mark toxic text; ``rate`` is the lambda of the extreme-value law of segment scores."""
+    """Signed log-odds of the features that tell toxic from clean text; ``rate`` is the lambda of the extreme-value law of segment scores."""
 
     hashes: np.ndarray
     odds: np.ndarray
@@ -69,16 +72,19 @@ class ToxicityModel:
         self.bits[(self.hashes & U(0xFFFFF)).astype(np.int64)] = True
 
     def gains(self, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places and scores of the tokens above zero; starts, ends and first numbers of all tokens."""
+        """Places and scores of the tokens with log-odds of their own; starts, ends and first numbers of all tokens.
+
+        A token's log-odds are those of the whole word or else of its longest known beginning.
+        """
         found, start, end, first = features(buffer, offsets)
         best = np.zeros(len(start))
-        for at, h in found:
+        for at, h in [*found[1:], found[0]]:  # the longer ones later: they overwrite
             near = np.flatnonzero(self.bits[(h & U(0xFFFFF)).astype(np.int64)])
             if len(near) and len(self.hashes):
                 i = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
                 hit = self.hashes[i] == h[near]
-                np.maximum.at(best, at[near[hit]], self.odds[i[hit]])
-        at = np.flatnonzero(best > self.drift)
+                best[at[near[hit]]] = self.odds[i[hit]]
+        at = np.flatnonzero(best)
         return at, best[at] - self.drift, start, end, first
 
     def passages(self, buffer: np.ndarray, offsets: np.ndarray) -> tuple[list[list[tuple[int, int, float]]], np.ndarray]:
@@ -126,13 +132,17 @@ def extreme_rate(share: np.ndarray, gain: np.ndarray, drift: float) -> float:
     return max(lo, 1e-3)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = 30_000, prior: float = 0.5, significance: float = 3.3, least_odds: float = 2.0, drift: float = 0.1) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = 30_000, prior: float = 0.0025, significance: float = 3.3, least_odds: float = 2.0, least_docs: int = 3, drift: float = 0.1) -> ToxicityModel:
     """A model from at most ``rows`` labelled documents, those smallest by a hash of their doc_id.
 
-    A feature's log-odds compare the documents of either label that hold it,
-    with a Dirichlet prior of ``prior`` on each count; features whose log-odds
-    exceed ``least_odds`` and ``significance`` standard errors are kept. Of repeated labels of a
-    doc_id the largest counts; null labels and ids are left out.
+    Every token of these documents counts. A feature's log-odds compare its
+    tokens in toxic and in clean documents under an informed Dirichlet prior:
+    to each side the share ``prior`` of the whole sample's tokens is added,
+    divided among the features as these are. Log-odds of either sign are kept where they exceed ``least_odds`` and
+    ``significance`` standard errors, and at least ``least_docs`` documents of
+    that side hold the feature; all other tokens have none. Tokens of one
+    document come in bursts, so errors go by documents, under the same prior. Of repeated labels of a doc_id
+    the largest counts; null labels and ids are left out.
     """
     spark = docs.sparkSession
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
@@ -140,61 +150,74 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
         known = known.where(usable)
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("__toxic").cast("int").alias("__toxic"))
+    sample = Scratch(spark, "toxicity").save(sample, "sample")
+    names = ["tox", "clean", "tox_docs", "clean_docs"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [[], [], []]
+        """Tokens and documents of either label by feature; feature null: tokens only, of all words."""
+        held: list[list[np.ndarray]] = [[] for _ in range(5)]
+        size = np.zeros(2, np.int64)
         for batch, buffer, offsets in blocks(batches):
             toxic = np.asarray(batch.column("__toxic")) == 1
             found, start, _, first = features(buffer, offsets)
-            owner = np.repeat(np.arange(len(toxic)), np.diff(first))
+            n = np.diff(first)
+            size += [n[toxic].sum(), n[~toxic].sum()]
+            owner = np.repeat(np.arange(len(toxic)), n)
             h = np.concatenate([x for _, x in found])
             o = np.concatenate([owner[at] for at, _ in found])
             order = np.lexsort((o, h))
             h, o = h[order], o[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-            h, o = h[new], o[new]
             keys, at = np.unique(h, return_index=True)
             if len(keys):
-                held[0].append(keys)
-                held[1].append(np.add.reduceat(toxic[o].astype(np.int64), at))
-                held[2].append(np.diff(np.append(at, len(h))))
+                bad = toxic[o]
+                for x, y in zip(held, (keys, *(np.add.reduceat(v.astype(np.int64), at) for v in (bad, ~bad, bad & new, ~bad & new))), strict=True):
+                    x.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *[pa.array([int(x)], pa.int64()) for x in (*size, 0, 0)]], names=["feature", *names])
         if held[0]:
             keys, inverse = np.unique(np.concatenate(held[0]), return_inverse=True)
-            tox, both = (np.bincount(inverse, np.concatenate(x), len(keys)).astype(np.int64) for x in held[1:])
+            sums = [np.bincount(inverse, np.concatenate(x), len(keys)).astype(np.int64) for x in held[1:]]
             for i in range(0, len(keys), 100_000):
                 s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[s].view(np.int64)), pa.array(tox[s]), pa.array(both[s] - tox[s])], names=["feature", "tox", "clean"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[s].view(np.int64)), *[pa.array(x[s]) for x in sums]], names=["feature", *names])
 
     n = {r["__toxic"]: r["count"] for r in sample.groupBy("__toxic").count().collect()}
     n_tox, n_clean = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
     if not n_tox or not n_clean:
         return ToxicityModel(np.zeros(0, U), np.zeros(0), drift, 1.0, (10.0 if n_tox else -10.0, 0.0, 0.0))
-    counts = sample.mapInArrow(count, "feature long, tox long, clean long").groupBy("feature").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("tox") + prior) / (n_tox - F.col("tox") + prior)) - F.log((F.col("clean") + prior) / (n_clean - F.col("clean") + prior))
-    error = F.sqrt(1 / (F.col("tox") + prior) + 1 / (F.col("clean") + prior))
-    kept = counts.where("tox >= 3").select("feature", "clean", odds.alias("odds"), error.alias("error")).where((F.col("odds") > significance * F.col("error")) & (F.col("odds") > least_odds)).toPandas().sort_values("feature", key=lambda x: x.to_numpy().view(np.uint64))
+    counts = sample.mapInArrow(count, ", ".join(f"{c} long" for c in ["feature", *names])).groupBy("feature").agg(*[F.sum(c).alias(c) for c in names])
+    counts = Scratch(spark, "toxicity").save(counts, "counts")
+    all_tox, all_clean = counts.where("feature IS NULL").select("tox", "clean").first()
+    alpha = (F.col("tox") + F.col("clean")) * prior
+    added = (all_tox + all_clean) * prior
+    side = lambda c, total: F.log((F.col(c) + alpha) / F.greatest(F.lit(total + added) - F.col(c) - alpha, F.lit(0.5)))
+    some = alpha * F.try_divide(F.col("tox_docs") + F.col("clean_docs"), F.col("tox") + F.col("clean"))
+    error = F.sqrt(F.try_divide(F.lit(1), F.col("tox_docs") + some) + F.try_divide(F.lit(1), F.col("clean_docs") + some))
+    marked = counts.where("feature IS NOT NULL").select("feature", "tox_docs", "clean_docs", (side("tox", all_tox) - side("clean", all_clean)).alias("odds"), error.alias("error"))
+    enough = F.when(F.col("odds") > 0, F.col("tox_docs")).otherwise(F.col("clean_docs")) >= least_docs
+    kept = marked.where((F.abs("odds") > F.greatest(significance * F.col("error"), F.lit(least_odds))) & enough).select("feature", "odds").toPandas().sort_values("feature", key=lambda x: x.to_numpy().view(np.uint64))
     hashes = kept["feature"].to_numpy(np.int64).view(np.uint64)
     gain = kept["odds"].to_numpy(float)
     first = ToxicityModel(hashes, gain, drift, 1.0, (0.0, 0.0, 0.0))
     held = spark.sparkContext.broadcast(first)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens of clean documents by their score in quarters; -1: all tokens."""
+        """Tokens of clean documents by their score in quarters; null: all tokens."""
         for batch, buffer, offsets in blocks(batches):
             at, gain_, _, _, begin = held.value.gains(buffer, offsets)
             clean = np.asarray(batch.column("__toxic")) != 1
             mine = clean[np.searchsorted(begin, at, "right") - 1]
-            level, n = np.unique((gain_[mine] * 4).astype(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(level, -1)), pa.array(np.append(n, np.diff(begin)[clean].sum()))], names=["level", "n"])
+            level, n = np.unique(np.floor(gain_[mine] * 4).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([*level.tolist(), None], pa.int64()), pa.array(np.append(n, np.diff(begin)[clean].sum()))], names=["level", "n"])
 
     if not len(hashes):
         share = math.log(n_tox / n_clean)
         return ToxicityModel(hashes, gain, drift, 1.0, (share, 0.0, 0.0))
     levels = {r["level"]: r["n"] for r in sample.mapInArrow(measure, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    size = levels.pop(-1) + 1
-    top = int(gain.max() * 4)
-    levels[top] = levels.get(top, 0) + prior
+    size = levels.pop(None) + 1
+    top = math.floor(max(gain.max(), 1.0) * 4)
+    levels[top] = levels.get(top, 0) + 0.5  # the law needs a score above zero
     rate = extreme_rate(np.array(list(levels.values())) / size, (np.array(list(levels)) + 0.5) / 4, drift)
     second = ToxicityModel(hashes, gain, drift, rate, (0.0, 0.0, 0.0))
     held2 = spark.sparkContext.broadcast(second)
@@ -210,8 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
 def score(docs: DataFrame, model: ToxicityModel, carry: list[str] | None = None) -> DataFrame:
     """doc_id, the ``carry`` columns, score, predicted and passages for every row of ``docs``.
 
-    Tokens are runs of letters, lower-cased. A token scores the largest
-    log-odds of its features less a drift, or minus the drift. All maximal
+    Tokens are runs of letters, lower-cased. A token scores the signed
+    log-odds of its word, or of the longest beginning that has any, less a
+    drift; or minus the drift. All maximal
     scoring segments of the whole text are found in one linear scan; those
     expected less than once by chance in a text of that length are its
     passages (start and end in bytes of the UTF-8 text, value = -ln of the
