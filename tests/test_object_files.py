@@ -38,3 +38,31 @@ def test_files(spark, tmp_path):
     index = O.footers(files).collect()
     assert sorted((r.base_offset, r.last_offset, r.num_records) for r in index if r.object_key.endswith("10.obj")) == [(10, 12, 3), (13, 13, 1), (14, 14, 1)]
     assert O.decoded(files.limit(0)).count() == 0
+
+
+def test_store_round_trip(spark, tmp_path):
+    """Objects written, read by their tails and by ranges, compacted in place twice, and deleted."""
+    from tideline.sources import object_store as S
+
+    rows = [(p, i, 1000 + i, None if i % 7 == 0 else f"k{i % 11}", f"v{i}") for p in (0, 1) for i in range(200)]
+    log = spark.createDataFrame(rows, "part int, off long, ts_ms long, k string, v string")
+    folder = f"file://{tmp_path}/objects"
+    done = S.write_objects(O.encoded(log, "t", "a" * 32, per_object=64, codec=4), folder).collect()
+    assert len(done) == 8 and not [p for p in tmp_path.rglob("*.tmp")]
+    files = O.object_files(spark, folder)
+    for tail in (S.TAIL, 16):
+        assert sorted(map(tuple, S.tail_footers(S.stored(spark, folder), tail).collect())) == sorted(map(tuple, O.footers(files).collect()))
+    index = S.tail_footers(S.stored(spark, folder)).where("base_offset BETWEEN 32 AND 100")
+    got = S.read_batches(index).select("part", "off", "value").collect()
+    assert sorted((r.part, r.off, r.value.decode()) for r in got) == sorted((p, o, v) for p, o, _, _, v in rows if 32 <= o < 112)
+    assert S.spans([(0, 5), (5, 5), (20, 5), (25, 100)], 50) == [(0, 2, 0, 10), (2, 3, 20, 25), (3, 4, 25, 125)]
+    last = {}
+    for p, o, _, k, v in rows:
+        last[p, k or f"#{o}"] = (p, o, v)
+    for _ in range(2):
+        marks = S.compact_objects(spark, folder, "t", "a" * 32, f"file://{tmp_path}/marks", per_object=64)
+        assert sorted((r.part, r.off, r.value.decode()) for r in O.decoded(O.object_files(spark, folder)).collect()) == sorted(last.values())
+        assert sorted(map(tuple, marks.collect())) == [(0, 199), (1, 199)]
+    gone = S.remove_objects(S.stored(spark, folder)).collect()
+    assert all(r.removed for r in gone) and not list(tmp_path.rglob("*.obj"))
+    assert [r.removed for r in S.remove_objects(spark.createDataFrame([(gone[0].path,)], "path string")).collect()] == [False]

@@ -148,6 +148,22 @@ def decode_batch(data: bytes, check: bool = True) -> tuple[tuple, list[Record]]:
     return head, list(decode_records(expand(data[HEADER.size :], head[5] & 7), head[12]))
 
 
+def batch_rows(place: tuple, base: int, data: bytes, check: bool = True) -> Iterator[tuple]:
+    """Rows as in RECORDS of one batch; one with an error if it can't be read."""
+    try:
+        h, records = decode_batch(data, check)
+    except (ValueError, IndexError, OSError, struct.error, EOFError) as e:
+        yield *place, base, *[None] * 13, str(e) or type(e).__name__
+        return
+    a = h[5]
+    stamp, control = bool(a & BY_APPEND), bool(a & CONTROL)
+    for r in records:
+        kind = {0: "abort", 1: "commit"}.get(int.from_bytes((r.key or b"")[2:4], "big")) if control else None
+        ts = h[8] if stamp else h[7] + r.ts_delta
+        headers = [{"key": k, "value": v} for k, v in r.headers]
+        yield *place, base, base + r.offset_delta, ts, "LogAppendTime" if stamp else "CreateTime", r.key, r.value, headers, h[9], h[10], h[11], bool(a & TRANSACTIONAL), control, kind, CODECS[a & 7], None
+
+
 def decoded(files: DataFrame, check: bool = True) -> DataFrame:
     """A row per record of object files (path, content).
 
@@ -165,18 +181,7 @@ def decoded(files: DataFrame, check: bool = True) -> DataFrame:
             yield *place, *[None] * 14, str(e)
             return
         for base, at, size, *_ in index:
-            try:
-                h, records = decode_batch(content[at : at + size], check)
-            except (ValueError, IndexError, OSError, struct.error, EOFError) as e:
-                yield *place, base, *[None] * 13, str(e) or type(e).__name__
-                continue
-            a = h[5]
-            stamp, control = bool(a & BY_APPEND), bool(a & CONTROL)
-            for r in records:
-                kind = {0: "abort", 1: "commit"}.get(int.from_bytes((r.key or b"")[2:4], "big")) if control else None
-                ts = h[8] if stamp else h[7] + r.ts_delta
-                headers = [{"key": k, "value": v} for k, v in r.headers]
-                yield *place, base, base + r.offset_delta, ts, "LogAppendTime" if stamp else "CreateTime", r.key, r.value, headers, h[9], h[10], h[11], bool(a & TRANSACTIONAL), control, kind, CODECS[a & 7], None
+            yield from batch_rows(place, base, content[at : at + size], check)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -238,7 +243,7 @@ def encoded(log: DataFrame, topic: str, topic_id: str, per_batch: int = 16, per_
             while j < len(rows) and rows[j]["off"] < base + per_batch:
                 j += 1
             first = rows[i]
-            records = [Record(r["off"] - base, r["ts_ms"] - first["ts_ms"], *((x.encode() if x is not None else None) for x in (r["k"], r["v"]))) for r in rows[i:j]]
+            records = [Record(r["off"] - base, r["ts_ms"] - first["ts_ms"], *((x.encode() if isinstance(x, str) else x) for x in (r["k"], r["v"]))) for r in rows[i:j]]
             batches.append(encode_batch(base, first["ts_ms"], records, codec))
             i = j
         path = f"{topic}-{topic_id}/{part}/{number * per_object:020d}.obj"
