@@ -64,8 +64,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
-    ordered = plan.withColumn("__at", F.get("uses", F.lit(0))["position"]).orderBy(F.col("__at").asc_nulls_last(), "doc_id")
-    return ordered.select("doc_id", "size", "source_size", "target", "taken")
+    plan = plan.withColumn("position", F.round(F.get("uses", F.lit(0))["position"], 9)).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,15 +157,21 @@ WITH sized AS (
     sum(w) OVER (ORDER BY cap / w DESC, source DESC) AS free
   FROM sources
 ), level AS (SELECT left_, free FROM ranked WHERE left_ * w / free <= cap ORDER BY r LIMIT 1
-), targets AS (SELECT source, source_size, least(cap, level.left_ * w / level.free) AS target FROM ranked, level
+), targets AS (SELECT source, source_size, w, least(cap, level.left_ * w / level.free) AS target FROM ranked, level
 ), placed AS (
-  SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS goal,
+  SELECT doc_id, size, source_size, target, w, CAST(floor(target + 0.5) AS BIGINT) AS goal,
     coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY k.k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source
+), passes AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size END AS whole FROM placed
+), cut AS (
+  SELECT *, least(greatest(goal - whole * source_size - start, 0), size) AS rest FROM passes
+), due AS (
+  SELECT *, CASE WHEN size > 0 AND (whole > 0 OR rest > 0) THEN (start + CASE WHEN whole > 0 THEN size ELSE rest END / 2.0) / goal END AS share FROM cut
 )
-SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size = 0 THEN 0 ELSE CAST(goal // source_size * size + least(greatest(goal - goal // source_size * source_size - start, 0), size) AS BIGINT) END AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, CAST(whole * size + rest AS BIGINT) AS taken,
+  round(CASE WHEN share >= 1 THEN 1.0 WHEN w = 1 THEN 1.5 - sqrt(2.25 - 2 * share) WHEN w = 2 THEN share ELSE sqrt(0.25 + 2 * share) - 0.5 END, 9) AS position
+FROM due
 """
 
 OP9_SQL = r"""
