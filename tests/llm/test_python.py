@@ -107,6 +107,25 @@ def test_pack(make, corpus):
     assert packing.pack(make(rows).limit(0), path).count() == 0
 
 
+def test_pack_with_null_and_repeated_ids_by_parts(make):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    rows = [(i if i % 5 else None, "word " * (i % 37), "en", "ab"[i % 2]) for i in range(200)] + [(3, None, "en", "a")] * 4
+    out = packing.pack(make(rows), path, room=32, part=F.when(F.col("source") == "a", 1).otherwise(7)).collect()
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sorted(bins) == list(range(len(bins))) and sum(r.piece == 0 for r in out) == len(rows)
+    for x in bins.values():
+        end = 0
+        for o, n in sorted(x):
+            assert o == end
+            end += n
+        assert end <= 32
+    alone = [len({r.sequence_id for r in packing.pack(make([x for x in rows if x[3] == s]), path, room=32).collect()}) for s in "ab"]
+    assert len(bins) == sum(alone)
+
+
 # MinHash
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,8 +131,8 @@ def best_fit(counts: dict[int, int], room: int) -> list[tuple[int, int, int, int
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, room: int, end_id: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: every document's ids and ``end_id``, cut where longer than ``room``."""
-    fields = [docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]]
+    """doc_id, __part, piece, start, length, ids_crc32: every document's ids and ``end_id``, cut where longer than ``room``."""
+    fields = [docs.schema["doc_id"], docs.schema["__part"], T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = encoder(tokenizer), np.array([end_id], np.uint32)
@@ -147,13 +147,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int, end_id: int) -> Dat
                     start.append(a)
                     length.append(b - a)
                     crc.append(zlib.crc32(ids[a:b].tobytes()))
-            ids = batch.column("doc_id").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]], names=[f.name for f in fields])
+            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "__part")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]], names=[f.name for f in fields])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
+    return docs.select("doc_id", "__part", "text").mapInArrow(run, T.StructType(fields))
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, part: Column | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents are tokenized whole (null text: empty), ``end_id`` closes each;
@@ -166,35 +166,53 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2) ->
     each piece looks up its own place. So no task holds more than its share
     of pieces, however many have one length.
 
+    With ``part``, a column of a few integers, the documents of each part are
+    packed by themselves and sequence_id rises from part to part: so packing
+    keeps an order of parts, as a curriculum asks. The driver gets ``room``
+    numbers for each part.
+
     Ranks go by bucket of doc_id, then doc_id, piece and checksum: reruns
     agree. A null doc_id is an id like any other; repeated rows are packed
     each. Other columns are left out. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "packing")
+    docs = docs.select("doc_id", "text", (F.lit(0) if part is None else part).cast("long").alias("__part"))
     pieces = scratch.save(token_pieces(docs, tokenizer, room, end_id), "pieces")
-    lengths = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = {r["length"]: r["n"] for r in lengths}
-    runs = sorted(best_fit(counts, room))
-    table = np.array(runs, np.int64).reshape(-1, 6)
-    held = docs.sparkSession.sparkContext.broadcast(table)
-
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(partitions(sum(counts.values()), 20_000)))
+    counts: dict[int, dict[int, int]] = {}
+    for r in pieces.groupBy("__part", "length").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["__part"], {})[r["length"]] = r["n"]
+    # A slot is a part and a length; slots, and the runs of each, in order.
+    slots, table, bins = [], [], 0
+    for p in sorted(counts):
+        runs = sorted(best_fit(counts[p], room))
+        for length, first, _, bin0, each, offset in runs:
+            if not slots or slots[-1] != (p, length):
+                slots.append((p, length))
+            table.append((len(slots) - 1, first, bin0 + bins, each, offset))
+        bins += max(bin0 + -(-(last - first) // each) for _, first, last, bin0, each, _ in runs)
+    held = docs.sparkSession.sparkContext.broadcast((np.array(slots, np.int64).reshape(-1, 2), np.array(table, np.int64).reshape(-1, 5)))
+
+    n = sum(sum(x.values()) for x in counts.values())
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(partitions(n, 20_000)))
     rows = pieces.withColumn("__bucket", bucket)
-    inside = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    groups = rows.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = rows.withColumn("__in", inside).join(groups.withColumn("__before", before).drop("__n"), ["length", "__bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("__before") + F.col("__in") - 1).cast("long").alias("__rank"))
-    fields = [*ranked.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    slot = ["__part", "length"]
+    inside = F.row_number().over(Window.partitionBy(*slot, "__bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    groups = rows.groupBy(*slot, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*slot).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rows.withColumn("__in", inside).join(groups.withColumn("__before", before).drop("__n"), [*slot, "__bucket"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "__part", (F.col("__before") + F.col("__in") - 1).cast("long").alias("__rank"))
+    fields = [*ranked.schema.fields[:-2], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length, first, _, bin0, each, offset = held.value.T
-        keys = (length << 44) + first
+        slots, table = held.value
+        at, first, bin0, each, offset = table.T
+        keys = (at << 44) + first
+        names = slots[:, 0] * (room + 1) + slots[:, 1]
         for batch in batches:
-            n, rank = (np.asarray(batch.column(c), np.int64) for c in ("length", "__rank"))
-            i = np.searchsorted(keys, (n << 44) + rank, "right") - 1
+            part, n, rank = (np.asarray(batch.column(c), np.int64) for c in ("__part", "length", "__rank"))
+            i = np.searchsorted(keys, (np.searchsorted(names, part * (room + 1) + n) << 44) + rank, "right") - 1
             nth, k = np.divmod(rank - first[i], each[i])
-            out = [*batch.columns[:-1], pa.array(bin0[i] + nth), pa.array(offset[i] + k * n)]
+            out = [*batch.columns[:-2], pa.array(bin0[i] + nth), pa.array(offset[i] + k * n)]
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
     return ranked.mapInArrow(place, T.StructType(fields))
