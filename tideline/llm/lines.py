@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACES, Scratch, attach, components
+from ._common import SPACES, Scratch, attach, components, few_or_all
 
 LAST = (1 << 63) - 1  # stands for a null doc_id: no document is larger
 #: Coordinates of a signature, and rows of a band; there are two bands for each ROWS coordinates.
@@ -98,11 +98,6 @@ def unequal(x: Column, y: Column) -> Column:
     return out
 
 
-def few_or_all(table: DataFrame, limit: int) -> DataFrame:
-    """``table`` to be broadcast if it has at most ``limit`` rows, else as it is."""
-    return F.broadcast(table) if table.count() <= limit else table
-
-
 def similar(lines: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int], scratch: Scratch, broadcast_ids: int) -> DataFrame:
     """The (u, v) whose full shingle sets have share[1] * intersection >= share[0] * union."""
     ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")

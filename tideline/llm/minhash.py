@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import SPACE, U, blocks, mix, shingles, tokens
-from ._common import Scratch, attach, components
+from ._common import Scratch, attach, components, few_or_all
 
 #: 28 bands of 5: a pair at a similarity of 0.8 shares a band with probability 1 - 1.5e-5, at 0.85 with 1 - 8e-8.
 BANDS, ROWS = 28, 5
@@ -127,14 +127,17 @@ def similar_sets(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
     return share[1] * both >= share[0] * (len(x) + len(y) - both)
 
 
-def links_across(members: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
+def links_across(members: DataFrame, share: tuple[int, int], block: int, broadcast_ids: int) -> DataFrame:
     """(u, v): links between components inside large buckets.
 
-    members: bucket, doc_id, component, n_shingles, members, sketch, n (rows
-    of the bucket). A bucket's members are compared block by block: pairs of
+    members: bucket, doc_id, component, n_shingles, members, sketch. Pairs of
     two components whose sketches are close enough are tested on their full
     sets, the closest first, until their components are joined. So a task
     sends out at most one link for each component that it joins.
+
+    The members of a bucket's largest component, which most are in after the
+    comparison with the smallest, go to one block each; only the others are
+    sent to every block, and compared block by block among themselves.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -143,7 +146,7 @@ def links_across(members: DataFrame, share: tuple[int, int], block: int) -> Data
         whole = [np.frombuffer(x.as_buffer(), U) for x in table.column("members")]
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
         left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        found = []
+        found = [np.zeros((0, 3))]
         for i in left.tolist():
             other = right[(comp[right] != comp[i]) & (share[1] * np.minimum(size[right], size[i]) >= share[0] * np.maximum(size[right], size[i]))]
             if lo == hi:
@@ -167,11 +170,19 @@ def links_across(members: DataFrame, share: tuple[int, int], block: int) -> Data
                 out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
-    rows = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    kept = rows.select("bucket", "lo", "hi", "part", "doc_id", "component", "n_shingles", "members", "sketch")
-    return kept.groupBy("bucket", "lo", "hi").applyInArrow(run, "u long, v long").distinct()
+    by = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    by = by.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("n"))
+    count = lambda x: F.ceil(x / block).cast("int")
+    by = by.select("bucket", "main", count(F.col("c")).alias("blocks"), count(F.col("n") - F.col("c")).alias("rest"))
+    rows = members.join(few_or_all(by, broadcast_ids), "bucket")
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    own = ["bucket", "doc_id", "component", "n_shingles", "members", "sketch"]
+    main = rows.where("component = main").select(*own, F.lit(-1).alias("lo"), deal("blocks").alias("hi")).withColumn("part", F.col("hi"))
+    others = rows.where("component <> main")
+    sent = others.select(*own, F.lit(-1).alias("lo"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("hi"), F.lit(-1).alias("part"))
+    among = others.select(*own, deal("rest").alias("part"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("other"))
+    among = among.select(*own, F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part")
+    return main.unionByName(sent).unionByName(among).groupBy("bucket", "lo", "hi").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, small: int = 32, block: int = 512, broadcast_ids: int = 2_000_000) -> DataFrame:
@@ -216,7 +227,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 1
     labelled = members.select("bucket", "doc_id", "n_shingles").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     labelled = scratch.save(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "n")
-    open_ = scratch.save(labelled.join(mixed, "bucket"), "open")
+    open_ = scratch.save(labelled.join(few_or_all(mixed, broadcast_ids), "bucket"), "open")
     few = open_.where(F.col("n") <= small)
     other = few.select("bucket", F.col("doc_id").alias("v"), F.col("component").alias("c"), F.col("n_shingles").alias("s"))
     sized = F.least("s", "n_shingles") * share[1] >= F.greatest("s", "n_shingles") * share[0]
@@ -228,7 +239,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 1
     many = open_.where(F.col("n") > small)
     if many.limit(1).count():
         whole = scratch.save(sketched_sets(docs, many.select("doc_id").distinct(), n, broadcast_ids), "sketched")
-        more.append(scratch.save(links_across(many.join(whole, "doc_id"), share, block), "across"))
+        more.append(scratch.save(links_across(many.join(whole, "doc_id"), share, block, broadcast_ids), "across"))
     if any(m.limit(1).count() for m in more):
         edges = stars.select(F.col("node").alias("u"), F.col("component").alias("v"))
         for m in more:
