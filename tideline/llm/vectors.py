@@ -25,11 +25,18 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 class Subspaces:
-    """The rotated space cut into blocks, each with its share of the squared distance that a link allows."""
+    """The rotated space cut into blocks, each with its share of the squared distance that a link allows.
 
-    def __init__(self, dim: int, blocks: int, least: float):
-        self.turn = rotation(dim)
-        self.cuts = np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
+    moments: the sum of the unit vectors' outer products. The rotation then
+    goes to their principal axes, the largest ones leading one block each, so
+    that a cut along them prunes most; without moments it is a random one.
+    """
+
+    def __init__(self, dim: int, blocks: int, least: float, moments: np.ndarray | None = None):
+        blocks = min(blocks, dim)
+        axes = rotation(dim) if moments is None else np.linalg.eigh(moments)[1][:, ::-1]
+        self.turn = np.concatenate([axes[:, b::blocks] for b in range(blocks)], 1)
+        self.cuts = np.cumsum([0, *(len(range(b, dim, blocks)) for b in range(blocks))])
         self.budget = [(2 - 2 * least) * (b - a) / dim + 1e-9 for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
 
     def distance(self, x: np.ndarray, y: np.ndarray, block: int) -> np.ndarray:
@@ -86,7 +93,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, blocks: int = 4, cell:
     Two rows link when their cosine, in doubles, is at least ``least``. Unit
     vectors with that cosine are within 2 - 2 * least of each other in squared
     distance, so after a rotation at least one of the ``blocks`` subspaces
-    holds at most its proportional part of it. Each subspace is range-joined
+    holds at most its proportional part of it. The rotation goes to the
+    principal axes of all vectors (up to 512 dimensions; a random one beyond,
+    and where one cell holds everything). Each subspace is range-joined
     on its first coordinate: cells of about ``cell`` vectors, bounded by
     quantiles, meet the cells that begin within the block's budget. In a pair
     of cells the whole subspace distance picks candidates, and their full
@@ -130,15 +139,26 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, blocks: int = 4, cell:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def links_of(nodes: DataFrame, dim: int, n: int, least: float, blocks: int, cell: int, scratch: Scratch) -> DataFrame:
+def links_of(nodes: DataFrame, dim: int, n: int, least: float, blocks: int, cell: int, scratch: Scratch, fitted: int = 512) -> DataFrame:
     """rep, node, links, root: partial counts of links, and edges of a spanning forest, from each pair of cells."""
-    space = Subspaces(dim, blocks, least)
-    n_blocks = len(space.budget)
-    lead_of = lambda x: (unit(x) @ space.turn)[:, space.cuts[:-1]]
 
     def matrix(column: pa.Array) -> np.ndarray:
         return np.asarray(column.flatten(), float).reshape(-1, dim)
 
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dim, dim))
+        for batch in batches:
+            x = unit(matrix(batch.column("embedding"))) if batch.num_rows else np.zeros((0, dim))
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim, dtype=np.int32)), pa.array(total.ravel())], names=["i", "x"])
+
+    space = Subspaces(dim, blocks, least)
+    if dim <= fitted and n > cell:
+        sums = nodes.select("embedding").mapInArrow(moments, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        space = Subspaces(dim, blocks, least, np.array([x for _, x in sorted(map(tuple, sums))]).reshape(dim, dim))
+    n_blocks = len(space.budget)
+    lead_of = lambda x: (unit(x) @ space.turn)[:, space.cuts[:-1]]
+
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
