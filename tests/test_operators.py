@@ -198,6 +198,11 @@ def test_election(spark):
     assert rows(groups.elect_protocol(m)) == [("g", "b", 2)]
 
 
+def test_member_ids(spark):
+    got = spark.createDataFrame([("c", None), ("c", "i")], "c string, i string").select("i", groups.member_id(F.col("c"), F.col("i")).alias("m")).collect()
+    assert {(r.i, r.m[:2], len(r.m)) for r in got} == {(None, "c-", 38), ("i", "i-", 38)} and got[0].m != got[1].m
+
+
 def test_names_and_configs(spark):
     names = {"ok": True, "": False, ".": False, "..": False, "x" * 249: True, "x" * 250: False, "a b": False, "é": False, "a.b_c-D1": True, "a\n": False, None: False}
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", catalog.valid_name(F.col("n")).alias("v"))

@@ -18,6 +18,48 @@ DEFAULTS = {
     "max.compaction.lag.ms": "9223372036854775807",
     "delete.retention.ms": "86400000",
 }
+#: Key, name, least and largest version of each call of the public protocol that a broker of this kind answers.
+API_VERSIONS = (
+    (0, "Produce", 3, 11),
+    (1, "Fetch", 4, 16),
+    (2, "ListOffsets", 1, 8),
+    (3, "Metadata", 4, 12),
+    (8, "OffsetCommit", 0, 9),
+    (9, "OffsetFetch", 0, 9),
+    (10, "FindCoordinator", 0, 6),
+    (11, "JoinGroup", 0, 9),
+    (12, "Heartbeat", 0, 4),
+    (13, "LeaveGroup", 0, 5),
+    (14, "SyncGroup", 0, 5),
+    (15, "DescribeGroups", 0, 6),
+    (16, "ListGroups", 0, 5),
+    (17, "SASLHandshake", 1, 1),
+    (18, "ApiVersions", 0, 4),
+    (19, "CreateTopics", 2, 7),
+    (20, "DeleteTopics", 0, 6),
+    (21, "DeleteRecords", 0, 2),
+    (22, "InitProducerID", 0, 5),
+    (23, "OffsetForLeaderEpoch", 3, 4),
+    (24, "AddPartitionsToTxn", 0, 4),
+    (25, "AddOffsetsToTxn", 0, 3),
+    (26, "EndTxn", 0, 4),
+    (28, "TxnOffsetCommit", 0, 4),
+    (32, "DescribeConfigs", 0, 4),
+    (33, "AlterConfigs", 0, 2),
+    (35, "DescribeLogDirs", 0, 4),
+    (36, "SASLAuthenticate", 0, 2),
+    (37, "CreatePartitions", 0, 3),
+    (42, "DeleteGroups", 0, 2),
+    (44, "IncrementalAlterConfigs", 0, 1),
+    (47, "OffsetDelete", 0, 0),
+    (50, "DescribeUserScramCredentials", 0, 0),
+    (51, "AlterUserScramCredentials", 0, 0),
+    (60, "DescribeCluster", 0, 2),
+    (61, "DescribeProducers", 0, 0),
+    (65, "DescribeTransactions", 0, 0),
+    (66, "ListTransactions", 0, 1),
+)
+UNSUPPORTED_VERSION = 35
 
 
 def valid_name(name: Column) -> Column:
@@ -85,6 +127,19 @@ def describe_configs(topics: DataFrame, names: list[str] | None = None) -> DataF
     return rows.select("name", "config", "value", (~F.map_contains_key("own", F.col("config"))).alias("is_default"))
 
 
+def api_versions(spark: SparkSession, asked: int) -> DataFrame:
+    """api_key, name, min_version, max_version, and error_code and version of the answer: 0 and 35 if ``asked`` isn't known."""
+    least, most = next((a, b) for k, _, a, b in API_VERSIONS if k == 18)
+    known = least <= asked <= most
+    rows = spark.createDataFrame(list(API_VERSIONS), "api_key int, name string, min_version int, max_version int")
+    return rows.select("*", F.lit(0 if known else UNSUPPORTED_VERSION).alias("error_code"), F.lit(asked if known else 0).alias("version"))
+
+
+def describe_cluster(spark: SparkSession, cluster_id: str, node_id: int, host: str, port: int) -> DataFrame:
+    """The one broker, which is the controller too."""
+    return spark.createDataFrame([(cluster_id, node_id, node_id, host, port)], "cluster_id string, controller_id int, node_id int, host string, port int")
+
+
 def describe_broker(spark: SparkSession, node_id: int, names: list[str] | None = None) -> DataFrame:
     """name, config, value, is_default, read_only of the broker resource: its id alone."""
     rows = spark.range(1).select(F.lit(str(node_id)).alias("name"), F.lit("broker.id").alias("config"), F.lit(str(node_id)).alias("value"), F.lit(False).alias("is_default"), F.lit(True).alias("read_only"))

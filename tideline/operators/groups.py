@@ -93,3 +93,14 @@ def range_assign(members: DataFrame, partitions: DataFrame) -> DataFrame:
     """Partitions dealt to members in turn, both in order: grp, member_id, part."""
     ranked = members.select("grp", "member_id", (F.row_number().over(Window.partitionBy("grp").orderBy("member_id")) - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("grp")).alias("n"))
     return ranked.join(partitions.select("grp", "part"), "grp").where(F.col("part") % F.col("n") == F.col("r")).select("grp", "member_id", "part")
+
+
+def find_coordinator(requests: DataFrame, node_id: int, host: str, port: int) -> DataFrame:
+    """Where the coordinator of each (key, kind) is: the one broker; 42 for a kind other than 0 (group) and 1 (transaction)."""
+    known = F.col("kind").isin(0, 1)
+    return requests.select("key", "kind", F.when(known, 0).otherwise(42).alias("error_code"), F.when(known, node_id).alias("node_id"), F.when(known, host).alias("host"), F.when(known, port).alias("port"))
+
+
+def member_id(client_id: Column, instance_id: Column) -> Column:
+    """A new member's id: its instance id, or else its client id, and a random UUID."""
+    return F.concat(F.coalesce(instance_id, client_id), F.lit("-"), F.uuid())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import running
+
 WEEK_MS = 604_800_000
 
 
@@ -35,6 +37,22 @@ def mark_expired(objects: DataFrame, now_ms: int | Column, retention_ms: int | C
     return rows.withColumn("expired", (F.col("by_time") | F.col("by_size")) & (F.col("__rank") <= F.col("__n") - 1)).drop("__n", "__rank")
 
 
+def select_work(partitions: DataFrame, budget: int, cursor: int = 0) -> DataFrame:
+    """The partitions (topic, part, retention_ms, retention_bytes, dirty) that one round of retention looks at; adds turn.
+
+    Those without any limit are left out. Dirty ones come first, in order;
+    what is left of the budget goes round the others from ``cursor`` on.
+    """
+    rows = partitions.where("retention_ms >= 0 OR retention_bytes >= 0")
+    rows = running(rows, [], ["topic", "part"], F.substring("topic", 1, 2), F.lit(1), "__place")
+    total = rows.agg(F.count(F.lit(1)).alias("__n"))  # one row
+    rows = rows.join(F.broadcast(total))
+    round_ = F.pmod(F.col("__place") - cursor % F.greatest(F.col("__n"), F.lit(1)), F.col("__n"))
+    first = F.struct((~F.col("dirty")).alias("clean"), F.when(F.col("dirty"), F.col("__place")).otherwise(round_).alias("at"))
+    chosen = rows.withColumn("__first", first).orderBy("__first").limit(budget)
+    return chosen.withColumn("turn", F.row_number().over(Window.orderBy("__first")) - 1).drop("__first", "__place", "__n")
+
+
 def new_log_start(marked: DataFrame) -> DataFrame:
     """The first offset that survives, for each partition."""
     return marked.where(~F.col("expired")).groupBy("part").agg(F.min("base_offset").alias("log_start"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytes_ as B
-from ..operators import catalog, groups, ingest, lookup, membership, telemetry, txn
+from ..operators import catalog, groups, ingest, lookup, membership, retention, telemetry, txn
 from ..sources import event_log as L
 from ..sources.event_log import BATCH_SQL, COMMIT_SQL, LOG_SQL, TXN_SQL
 from .log_queries import state_of, with_now
@@ -493,6 +493,38 @@ def broker_configs(spark, d):
     return catalog.describe_broker(spark, 7)
 
 
+VERSION_SQL = "v(api_key, name, min_version, max_version) AS (VALUES " + ", ".join(f"({k}, '{n}', {a}, {b})" for k, n, a, b in catalog.API_VERSIONS) + ")"
+
+
+@query("api_versions", f"WITH {VERSION_SQL} SELECT *, 35 AS error_code, 0 AS version FROM v")
+def api_versions(spark, d):
+    """Asked in a version that isn't known, which is answered all the same."""
+    return catalog.api_versions(spark, 99)
+
+
+@query("describe_cluster", "SELECT 'c' AS cluster_id, 7 AS controller_id, 7 AS node_id, 'localhost' AS host, 9092 AS port")
+def describe_cluster(spark, d):
+    return catalog.describe_cluster(spark, "c", 7, "localhost", 9092)
+
+
+@query("find_coordinator", "SELECT DISTINCT event_type AS key, CAST(user_id % 3 AS INT) AS kind, CASE WHEN user_id % 3 < 2 THEN 0 ELSE 42 END AS error_code, CASE WHEN user_id % 3 < 2 THEN 7 END AS node_id, CASE WHEN user_id % 3 < 2 THEN 'localhost' END AS host, CASE WHEN user_id % 3 < 2 THEN 9092 END AS port FROM events")
+def find_coordinator(spark, d):
+    wanted = L.table(spark, d, "events").select(F.col("event_type").alias("key"), (F.col("user_id") % 3).cast("int").alias("kind")).distinct()
+    return groups.find_coordinator(wanted, 7, "localhost", 9092)
+
+
+@query(
+    "retention_work",
+    """WITH p AS (SELECT DISTINCT event_type AS topic, CAST(user_id % 4 AS INT) AS part FROM events), e AS (SELECT *, part = 2 AS dirty, row_number() OVER (ORDER BY topic, part) - 1 AS place, count(*) OVER () AS n FROM p WHERE topic <> 'view'),
+t AS (SELECT *, row_number() OVER (ORDER BY NOT dirty, CASE WHEN dirty THEN place ELSE (place - 3 % n + n) % n END) - 1 AS turn FROM e) SELECT topic, part, dirty, CAST(turn AS INT) AS turn FROM t WHERE turn < 7""",
+)
+def retention_work(spark, d):
+    rows = L.table(spark, d, "events").select(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("part")).distinct()
+    limit = F.when(F.col("topic") == "view", -1).otherwise(1000)
+    rows = rows.withColumns({"retention_ms": limit, "retention_bytes": F.lit(-1), "dirty": F.col("part") == 2})
+    return retention.select_work(rows, 7, 3).select("topic", "part", "dirty", "turn")
+
+
 CHANGE_SQL = f"{TOPIC_SQL}, c AS (SELECT name, 'retention.ms' AS config, '1' AS value FROM topics UNION ALL SELECT name, 'segment.bytes', '2' FROM topics)"
 
 
