@@ -212,6 +212,47 @@ def test_repeated_substrings(make, corpus, length, inner, hot):
     assert suffixes.repeated_substrings(make(rows).limit(0)).count() == 0
 
 
+def test_repeated_substrings_where_all_hashes_agree(make, corpus, monkeypatch):
+    """Slices are told apart by their bytes alone when every hash is the same."""
+    r = random.Random(6)
+    blob = np.frombuffer(bytes(r.choice(b"ab") for _ in range(300)), np.uint8)
+    start, size = np.array([r.randrange(200) for _ in range(150)]), np.array([r.randint(1, 9) for _ in range(150)])
+    number, head = suffixes.strings_of(blob, start, size, np.zeros(150, np.uint64), start)
+    text = [blob[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
+    names = {}
+    assert all(names.setdefault(n, x) == x for n, x in zip(number.tolist(), text, strict=True)) and len(names) == len(set(text))
+    assert [text[h] for h in head] == [names[k] for k in range(len(head))]
+    assert all(start[head[n]] <= a for n, a in zip(number, start, strict=True))
+
+
+def test_repeated_substrings_of_structured_text(make):
+    """Texts for which polynomials modulo a power of two collide."""
+    words = [b"a", b"b"]
+    for _ in range(11):
+        words = [words[0] + words[1], words[1] + words[0]]
+    rows = [(1, words[0].decode() + "x" * 60), (2, words[1].decode() + "y" * 60), (3, words[0].decode()), (4, "z" + words[1].decode())]
+    got = defaultdict(list)
+    for x in suffixes.repeated_substrings(make(rows), length=50).collect():
+        got[x.doc_id].append((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256))
+    assert got == removal_truth(rows, 50)
+
+
+def test_repeated_substrings_of_a_whole_table(spark):
+    """The query over all documents of the smallest table."""
+    import os
+
+    from tideline.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.exists(d):
+        pytest.skip("no tables here")
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    got = defaultdict(list)
+    for x in queries.op10_suffix_array_dedup(spark, d).collect():
+        got[x.doc_id].append((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256))
+    assert got == removal_truth(rows, 50)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_suffix_array(seed):
     r = random.Random(seed)

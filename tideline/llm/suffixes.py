@@ -145,6 +145,53 @@ def runs(blob: np.ndarray, ends: np.ndarray, length: int, inner: int) -> tuple[n
     return first, after, mix(least[first] + U(7)), hashes
 
 
+def gathered(blob: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of the slices, one after another."""
+    return blob[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def equal_slices(blob: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and from b on are the same, for each pair."""
+    out = a == b
+    at = np.flatnonzero(~out)
+    ends = np.cumsum(size[at])
+    i = 0
+    while i < len(at):  # about a megabyte at a time
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 1_000_000, "right")))
+        n = size[at[i:j]]
+        other = gathered(blob, a[at[i:j]], n) != gathered(blob, b[at[i:j]], n)
+        out[at[i:j]] = np.add.reduceat(other, np.cumsum(n) - n) == 0
+        i = j
+    return out
+
+
+def strings_of(blob: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each slice's string, and the first slice (least ``tie``) of each string.
+
+    Slices are sorted by hash; those of one hash are compared byte by byte.
+    """
+    order = np.lexsort((tie, size, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (size[order][1:] != size[order][:-1])
+    group = np.cumsum(new) - 1
+    head = order[new]
+    wrong = ~equal_slices(blob, start[order], start[head[group]], size[order])
+    if wrong.any():  # one hash, different strings
+        more, named = [], {}
+        for i in np.flatnonzero(np.isin(group, group[wrong])).tolist():
+            k = order[i]
+            key = int(group[i]), blob[start[k] : start[k] + size[k]].tobytes()
+            if key not in named:
+                named[key] = key[0] if k == head[group[i]] else len(head) + len(more)
+                if named[key] >= len(head):
+                    more.append(k)
+            group[i] = named[key]
+        head = np.concatenate([head, np.array(more, head.dtype)])
+    number = np.empty(len(order), np.int64)
+    number[order] = group
+    return number, head
+
+
 class Shard:
     """A shard of documents: ids ascending, their texts one after another."""
 
@@ -191,21 +238,10 @@ class Shard:
             first, windows = first + nth, np.where(burst, 1, windows)
             content = [hashlib.blake2b(self.blob[i : i + self.length].tobytes(), digest_size=8).digest() for i in first[burst].tolist()]
             slices[burst] = key[burst] = np.frombuffer(b"".join(content), U)
-        order = np.lexsort((first, windows, slices))
-        s, w = slices[order], windows[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (s[1:] != s[:-1]) | (w[1:] != w[:-1])
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        head = order[new]
+        number, head = strings_of(self.blob, first, windows + self.length - 1, slices, first)
         return first, windows, number, first[head], windows[head] + self.length - 1, self.ids[owner[head]], key[head]
 
 
-def gathered(blob: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of the slices, one after another."""
-    return blob[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-
-
 def window_owners(blob: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int, part: int) -> np.ndarray:
     """Of every window of the strings in ``blob``, the smallest owner of an equal window; windows of all strings one after another.
 
@@ -277,7 +313,11 @@ def repeated_substrings(docs: DataFrame, length: int = 50, inner: int = 24, shar
     hold too; (2) the distinct strings of runs with such minimizers, for the
     smallest document of each window. A minimizer that over ``hot`` documents
     hold is dealt by the content of its windows instead, so no content shard
-    grows with one passage. Every exchange is bounded by a shard's size.
+    grows with one passage. Every exchange is bounded by a shard's size; a
+    shard sends one message to each shard of keys for which it has any, so
+    messages are as many as the blocks of a shuffle between them, and never
+    more than the keys. Strings whose hashes agree are compared by their
+    bytes.
 
     Null texts count as empty; a null doc_id counts as larger than any other,
     and documents of one doc_id, repeated rows too, don't remove from one
@@ -288,7 +328,8 @@ def repeated_substrings(docs: DataFrame, length: int = 50, inner: int = 24, shar
     text = F.coalesce("text", F.lit(""))
     key = F.coalesce("doc_id", F.lit(LAST))
     rows = docs.select("doc_id", key.alias("__id"), text.alias("__text"))
-    ids = scratch.save(rows.select("doc_id", "__id", F.octet_length("__text").cast("long").alias("n_bytes"), F.unhex(F.sha2("__text", 256)).alias("__sha"), F.xxhash64("__id", "__text").alias("__key")), "ids")
+    keys = [F.xxhash64("__id", "__text").alias("__key"), F.xxhash64(F.lit(1), "__id", "__text").alias("__key2")]  # 128 bits together
+    ids = scratch.save(rows.select("doc_id", "__id", F.octet_length("__text").cast("long").alias("n_bytes"), F.unhex(F.sha2("__text", 256)).alias("__sha"), *keys), "ids")
     same = ids.groupBy("__sha").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     ids = scratch.save(attach(ids, same, ["__sha"], "__n", ["__first"], ids.count(), ["__key"]), "firsts")
     total = ids.where(f"n_bytes >= {length} AND __id = __first").agg(F.sum("n_bytes")).first()[0] or 0
@@ -296,14 +337,15 @@ def repeated_substrings(docs: DataFrame, length: int = 50, inner: int = 24, shar
     # A window has about 2 / (length - inner + 2) minimizers, of six bytes each.
     n_keys = partitions(total * 12 // (length - inner + 2), key_bytes)
     shard = F.pmod(F.xxhash64("__key"), F.lit(n_shards)).cast("long").alias("shard")
-    copies = ids.where(f"n_bytes >= {length} AND __id <> __first").select("__key", shard)
-    long_ = rows.where(F.octet_length("__text") >= length).withColumn("__key", F.xxhash64("__id", "__text")).select("__key", "__id", "__text", shard)
+    copies = ids.where(f"n_bytes >= {length} AND __id <> __first").select("__key", "__key2", shard)
+    long_ = rows.where(F.octet_length("__text") >= length).select("__id", "__text", *keys).select("__key", "__key2", "__id", "__text", shard)
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (("shard", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("blob", pa.binary()))})
         left = left.combine_chunks()
-        kept = ~np.isin(np.asarray(left.column("__key")), np.asarray(right.column("__key")))
+        gone = set(zip(right.column("__key").to_pylist(), right.column("__key2").to_pylist(), strict=True))
+        kept = [x not in gone for x in zip(left.column("__key").to_pylist(), left.column("__key2").to_pylist(), strict=True)]
         at = np.flatnonzero(kept)
         doc = np.asarray(left.column("__id"))[at]
         at, doc = at[np.argsort(doc, kind="stable")], np.sort(doc, kind="stable")
@@ -398,12 +440,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, inner: int = 24, shar
             limits = np.stack([start[i:j] - a, ends[i:j] - a - inner + 1], 1).ravel()
             least[i:j] = np.minimum.reduceat(np.append(grams, ~U(0)), limits)[::2]
             i = j
-        order = np.lexsort((owner, size, hashes))
-        new = np.ones(len(order), bool)
-        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (size[order][1:] != size[order][:-1])
-        head = order[new]
-        string = np.empty(len(order), np.int64)
-        string[order] = np.cumsum(new) - 1
+        string, head = strings_of(blob, start, size, hashes, owner)
         s_start, s_size, s_owner, s_least = start[head], size[head], owner[head], least[head]
         _, group, many = np.unique(s_least, return_inverse=True, return_counts=True)
         at = np.flatnonzero(many[group] > 1)
