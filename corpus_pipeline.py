@@ -7,7 +7,10 @@ and reads it again as the next one's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import exact_dedup, langid, minhash, mixing, packing
@@ -17,9 +20,42 @@ from tideline.llm._common import Scratch
 ORACLE_SQL = None
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``; rows with a null doc_id stay where ``ids`` holds null."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.expr("doc_id <=> __id"), "left_semi")
+#: Stretches of the mix that are packed by themselves, so that sequences follow its order.
+STRETCHES = 16
+
+
+def one_of_each(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``decide`` (doc_id, kept) keeps: one of each of its groups.
+
+    Where doc_ids repeat or are null, rows are numbered in the order of their
+    doc_id, null last, and decided on by these numbers; else by doc_id.
+    """
+    n = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        return docs.join(decide(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    row = next(f"row{i}" for i in range(len(docs.columns) + 1) if f"row{i}" not in docs.columns)
+    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_last(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    numbered = Scratch(docs.sparkSession, "rows").save(ordered.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    kept = decide(numbered.withColumn("doc_id", F.col(row))).where("kept").select(F.col("doc_id").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+
+
+def stretch(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with __stretch: which of ``n`` stretches of the stored order a row lies in.
+
+    The order is that of the table's files by name, and of the rows in each;
+    a table that isn't read from files keeps the order of its partitions.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        placed = docs.select("*", F.lpad(F.shiftright(at, 33).cast("string"), 10, "0").alias("__file"), at.bitwiseAND((1 << 33) - 1).alias("__row"))
+    files = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))  # a row for each file
+    sums = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("__file", F.coalesce(F.sum("__n").over(sums), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    at = F.floor((F.col("__before") + F.col("__row")) * n / F.col("__all"))
+    return placed.join(files, "__file").select(*docs.columns, at.alias("__stretch"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,25 +73,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of equal texts."""
-    return only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """Keeps one of equal texts, the one with the smallest doc_id."""
+    return one_of_each(docs, exact_dedup.exact_dedup)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: five words, similarity 0.8."""
-    return only(docs, minhash.near_duplicates(docs).where("kept"))
+    return one_of_each(docs, minhash.near_duplicates)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes sources by weights 1, 2, 3, repeating; a document comes as often as the mix uses it."""
+    """Mixes sources by weights 1, 2, 3, repeating; a document comes as often as the mix uses it, in the order of the curriculum."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs everything into sequences of 1024 tokens."""
+    """Packs everything into sequences of 1024 tokens; their numbers follow the order of the mix, stretch by stretch."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(stretch(docs, STRETCHES), public_tokenizers.path("byte_bpe_50k.json"), part=F.col("__stretch"))
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
