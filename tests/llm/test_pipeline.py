@@ -1,5 +1,6 @@
 """The stages, one by one, against what their operators must leave."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -59,6 +60,46 @@ def test_stages(spark, make, corpus):
     assert sum(r.start == 0 for r in pieces) == len(left["mixing"]) and all(r.offset + r.length <= 1024 for r in pieces)
 
 
+def test_one_row_of_each_group_with_null_and_repeated_ids(spark, make):
+    long_ = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, "same text"), (None, "same  text"), (7, "one of two"), (7, "one of two"), (7, "another"), (8, long_), (None, long_ + " end"), (None, None), (9, "")]
+    exact = corpus_pipeline.exact(spark, make(rows), "")
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.text or "") for x in exact.collect()) == [(False, 7, "another"), (False, 7, "one of two"), (False, 8, long_), (False, 9, ""), (True, 0, rows[1][1]), (True, 0, long_ + " end")]
+    near = corpus_pipeline.near(spark, make(rows), "")
+    left = [x.text for x in near.collect()]
+    assert left.count(long_) == 1 and long_ + " end" not in left and left.count("one of two") == 1 and left.count("another") == 1
+
+
+def test_empty_table(spark, make):
+    now = make([(1, "a")]).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        now = spark.createDataFrame(stage(spark, now, "").collect(), stage(spark, now, "").schema)
+    assert now.count() == 0
+
+
+def test_whole_pipeline_keeps_the_order_of_the_mix(spark, make, tmp_path):
+    """run() over files: every piece of the mix is packed, and early sequences hold what the mix puts first."""
+    r = random.Random(1)
+    words = [f"{a}{b}" for a in ("river", "stone", "cloud", "paper") for b in ("s", "ed", "ing", "er", "ly")]
+    rows = [(i, " ".join(r.choice(words) + str(r.randrange(900)) for _ in range(r.randint(20, 200))), "en", "abc"[i % 3]) for i in range(240)]
+    make(rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    source = {i: s for i, _, _, s in rows}
+    bins = {}
+    for x in pieces:
+        bins.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert sorted(bins) == list(range(len(bins)))
+    for x in bins.values():
+        end = 0
+        for a, n in sorted(x):
+            assert a == end
+            end += n
+        assert end <= 1024
+    half = len(bins) // 2
+    early = {s: sum(x.length for x in pieces if source[x.doc_id] == s and x.sequence_id < half) / sum(x.length for x in pieces if source[x.doc_id] == s) for s in "abc"}
+    assert early["a"] > 0.55 and early["c"] < 0.45
+
+
 def test_queries_have_names_of_all_ten():
     numbers = {int(m[1]) for n in queries.QUERIES if (m := re.match(r"op(\d+)_", n))}
     assert numbers == set(range(1, 11)) and "pipeline" in queries.QUERIES
