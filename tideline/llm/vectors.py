@@ -87,7 +87,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, blocks: int = 4, cell: int = 8192) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, blocks: int = 4, cell: int | None = None, cell_bytes: int = 32 << 20) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding).
 
     Two rows link when their cosine, in doubles, is at least ``least``. Unit
@@ -95,13 +95,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, blocks: int = 4, cell:
     distance, so after a rotation at least one of the ``blocks`` subspaces
     holds at most its proportional part of it. The rotation goes to the
     principal axes of all vectors (up to 512 dimensions; a random one beyond,
-    and where one cell holds everything). Each subspace is range-joined
-    on its first coordinate: cells of about ``cell`` vectors, bounded by
-    quantiles, meet the cells that begin within the block's budget. In a pair
-    of cells the whole subspace distance picks candidates, and their full
-    cosine decides. A pair counts in the first subspace that it fits, so the
-    union over subspaces needs no shuffle of pairs. Tasks send out a count
-    and one edge for each vector, however many links there are.
+    and where one cell holds everything). Each subspace is range-joined on its
+    first coordinate: cells of about ``cell`` vectors (as many as
+    ``cell_bytes`` hold in doubles, if not given), bounded by quantiles, meet
+    the cells that begin within the block's budget. In a pair of cells the
+    whole subspace distance picks candidates, and their full cosine decides. A
+    pair counts in the first subspace that it fits, so the union over
+    subspaces needs no shuffle of pairs. Tasks send out a count and one edge
+    for each vector, however many links there are.
 
     Equal embeddings are one node that counts as often as it occurs: n_links
     takes all copies in. Vectors that are null, empty, zero or hold null or
@@ -123,7 +124,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, blocks: int = 4, cell:
 
     parts = []
     for r in nodes.groupBy(F.size("embedding").alias("dim")).count().collect():
-        parts.append(links_of(nodes.where(F.size("embedding") == r["dim"]).select("rep", F.col("__k1").alias("node"), "copies", "embedding"), r["dim"], r["count"], least, blocks, cell, scratch))
+        size = cell or max(1, cell_bytes // (8 * r["dim"]))
+        parts.append(links_of(nodes.where(F.size("embedding") == r["dim"]).select("rep", F.col("__k1").alias("node"), "copies", "embedding"), r["dim"], r["count"], least, blocks, size, scratch))
     if not parts:
         parts = [scratch.save(spark.createDataFrame([], "rep long, node long, links long, root long"), "none")]
     found = parts[0]
