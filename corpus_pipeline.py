@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import exact_dedup, langid, minhash, mixing, packing
-from tideline.llm._common import Scratch
+from tideline.llm._common import Scratch, few_or_all
 
 #: Tokenizers and the parallel sums of SQL have no common ground: bin packing can't be stated in SQL.
 ORACLE_SQL = None
@@ -55,7 +55,7 @@ def stretch(docs: DataFrame, n: int) -> DataFrame:
     sums = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("__file", F.coalesce(F.sum("__n").over(sums), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
     at = F.floor((F.col("__before") + F.col("__row")) * n / F.col("__all"))
-    return placed.join(files, "__file").select(*docs.columns, at.alias("__stretch"))
+    return placed.join(few_or_all(files, 200_000), "__file").select(*docs.columns, at.alias("__stretch"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
