@@ -152,16 +152,10 @@ def gathered(blob: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 
 def equal_slices(blob: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the bytes from a and from b on are the same, for each pair."""
-    out = a == b
+    out, raw = a == b, blob.tobytes()
     at = np.flatnonzero(~out)
-    ends = np.cumsum(size[at])
-    i = 0
-    while i < len(at):  # about a megabyte at a time
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 1_000_000, "right")))
-        n = size[at[i:j]]
-        other = gathered(blob, a[at[i:j]], n) != gathered(blob, b[at[i:j]], n)
-        out[at[i:j]] = np.add.reduceat(other, np.cumsum(n) - n) == 0
-        i = j
+    i, j, n = (x[at].tolist() for x in (a, b, size))
+    out[at] = [raw[x : x + k] == raw[y : y + k] for x, y, k in zip(i, j, n, strict=True)]
     return out
 
 
