@@ -24,20 +24,27 @@ ORACLE_SQL = None
 STRETCHES = 16
 
 
-def one_of_each(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def one_of_each(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], few: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` that ``decide`` (doc_id, kept) keeps: one of each of its groups.
 
     Where doc_ids repeat or are null, rows are numbered in the order of their
-    doc_id, null last, and decided on by these numbers; else by doc_id.
+    doc_id, null last, and decided on by these numbers; else by doc_id. Texts
+    meet the ids that go, not those that stay: these are fewer, and up to
+    ``few`` of them are broadcast, so that no text is shuffled.
     """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+
+    def without(rows: DataFrame, key: str) -> DataFrame:
+        gone = decide(rows.withColumn("doc_id", F.col(key))).where("NOT kept").select(F.col("doc_id").alias(key))
+        return rows.join(few_or_all(scratch.save(gone, "gone"), few), key, "left_anti").select(*docs.columns)
+
     n = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     if n["rows"] == n["ids"]:
-        return docs.join(decide(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+        return without(docs, "doc_id")
     row = next(f"row{i}" for i in range(len(docs.columns) + 1) if f"row{i}" not in docs.columns)
     ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_last(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
-    numbered = Scratch(docs.sparkSession, "rows").save(ordered.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    kept = decide(numbered.withColumn("doc_id", F.col(row))).where("kept").select(F.col("doc_id").alias(row))
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    numbered = scratch.save(ordered.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    return without(numbered, row)
 
 
 def stretch(docs: DataFrame, n: int) -> DataFrame:

@@ -70,6 +70,37 @@ def test_one_row_of_each_group_with_null_and_repeated_ids(spark, make):
     assert left.count(long_) == 1 and long_ + " end" not in left and left.count("one of two") == 1 and left.count("another") == 1
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [2_000_000, 0])
+def test_one_of_each_by_broadcast_and_by_shuffle(spark, make, few):
+    rows = [(i, f"text {i % 70}") for i in range(100)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.one_of_each(make(rows), corpus_pipeline.exact_dedup.exact_dedup, few)
+        assert sorted(x.doc_id for x in out.collect()) == list(range(70))
+        assert ("Exchange hashpartitioning" in plan_of(out)) == (few == 0)  # texts are shuffled only where too many rows go
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_mixing_writes_texts_to_no_scratch_table(spark, make, monkeypatch):
+    saved, save = {}, mixing.Scratch.save
+
+    def noted(self, df, label, *how):
+        saved[label] = df.columns
+        return save(self, df, label, *how)
+
+    monkeypatch.setattr(mixing.Scratch, "save", noted)
+    rows = [(i, f"some words {i} and more", "en", "ab"[i % 2]) for i in range(60)]
+    mixed = mixing.mix(make(rows)).collect()
+    assert {x.text for x in mixed} <= {t for _, t, *_ in rows} | {" ".join(t.split()[:k]) for _, t, *_ in rows for k in range(1, 5)}
+    assert saved and not any("text" in c or "__doc" in c for c in saved.values())
+
+
 def test_empty_table(spark, make):
     now = make([(1, "a")]).limit(0)
     for _, stage in corpus_pipeline.STAGES:

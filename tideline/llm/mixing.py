@@ -94,12 +94,16 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: int =
     repeated rows are documents of their own. Null or wordless texts have
     size 0, taken 0 and no uses. Rows of one doc_id and size go in the order
     of a hash of their text, so reruns agree. An empty table gives no rows.
+
+    ``carry`` columns, which may hold the texts, go into no scratch table:
+    with them ``docs`` is read and measured twice.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     carry = [c for c in carry or [] if c not in ("doc_id", "source")]
     size = n_words(F.col("text"))
     key = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("size").cast("string"))), 1, 16)
-    sized = scratch.save(docs.select("doc_id", "source", *carry, size.alias("size"), F.xxhash64("text").alias("__text")).withColumn("__key", key), "sized")
+    measure = lambda more: docs.select("doc_id", "source", *more, size.alias("size"), F.xxhash64("text").alias("__text")).withColumn("__key", key)
+    sized = scratch.save(measure([]), "sized")
 
     n = sized.count()
     digits = min(4, max(1, math.ceil(math.log(max(n / 2000, 1), 16))))
@@ -112,7 +116,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: int =
     starts = buckets.withColumn("__start", earlier).select(*named, "__bucket", "__start").join(sources.select(*named, "source_size", "place", "target"), ["__null", "__name"])
 
     within = Window.partitionBy("__null", "__name", "__bucket").orderBy("__key", "doc_id", "size", "__text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.select("*", *named, bucket.alias("__bucket")).withColumn("__in", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = (measure(carry) if carry else sized).select("*", *named, bucket.alias("__bucket")).withColumn("__in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(starts, ["__null", "__name", "__bucket"])
     start = F.col("__start") + F.col("__in")
     goal = F.floor(F.col("target") + 0.5)
