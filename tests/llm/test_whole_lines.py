@@ -69,6 +69,46 @@ def test_no_python_on_the_main_path(make, spark):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
+def test_few_pairs_below_the_threshold_reach_their_sets(make, monkeypatch):
+    """Lines of one large group, all at a similarity of about 0.7: buckets hold many, and none of them links."""
+    r = random.Random(5)
+    base = [r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for k in r.sample(range(10, 390), 8):
+            t[k] = r.choice("0123456789")
+        rows.append((i, "".join(t)))
+    asked, similar = [], lines.similar
+
+    def noted(all_, pairs, *how):
+        asked.append(pairs.count())
+        return similar(all_, pairs, *how)
+
+    monkeypatch.setattr(lines, "similar", noted)
+    got = {i for i, t in left(make, rows).items() if t}
+    assert truth([(i, " ".join(t.split())) for i, t in rows]) == (got, 0) and len(asked) > 1
+    assert sum(asked[1:]) < 1000
+
+
+def test_bitmaps_reject_no_link(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(60):
+        t = "".join(r.choice("abcdefgh ") for _ in range(r.choice([3, 30, 300, 3000])))
+        u = list(t)
+        for _ in range(len(t) // 60):
+            u[r.randrange(len(u))] = "q"
+        rows += [(2 * i, t), (2 * i + 1, "".join(u))]
+    marks = lines.bitmaps(spark.createDataFrame(rows, "id long, text string"), WIDTH)
+    other = marks.select(*[marks[c].alias(f"p_{c}") for c in marks.columns])
+    x, y = ({c: (marks if not p else other)[p + c] for c in marks.columns} for p in ("", "p_"))
+    passed = {(a, b) for a, b in marks.join(other, x["id"] < y["id"]).where(lines.may_link(x, y, x["n"] + y["n"], (80, 100))).select("id", "p_id").collect()}
+    sets = {i: {t[k : k + WIDTH] for k in range(max(1, len(t) - WIDTH + 1))} for i, t in rows}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(links) > 20 and links <= passed and len(passed) < 300
+
+
 def test_recall_of_similar_pairs(spark, make):
     """Pairs at a similarity of 0.8 to 0.95, none of them alike otherwise."""
     r = random.Random(11)

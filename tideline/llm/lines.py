@@ -16,6 +16,8 @@ COORDINATES, ROWS = 40, 5
 SPARSE, ENOUGH = 30, 20
 #: Least hashes are looked for among so many shingles for each coordinate; a coordinate stays empty with probability exp(-NEAR).
 NEAR = 4
+#: Bits of a bitmap of a line's shingles, 64 a word.
+BITS = 2048
 
 
 def normal_line(line: Column) -> Column:
@@ -87,7 +89,7 @@ def signatures(lines: DataFrame, width: int, permutations: int) -> DataFrame:
     return whole.select((F.col("id") * 2 + int(permutations > 1)).alias("key"), "filled", F.array(*keys).alias("keys"), F.struct(*sketch).alias("sketch"))
 
 
-def unequal(x: Column, y: Column) -> Column:
+def unequal(x: Column | dict[str, Column], y: Column | dict[str, Column]) -> Column:
     """In how many of their bytes two sketches differ."""
     out = F.lit(0)
     for j in range(COORDINATES // 8):
@@ -98,6 +100,25 @@ def unequal(x: Column, y: Column) -> Column:
     return out
 
 
+def bitmaps(lines: DataFrame, width: int) -> DataFrame:
+    """id, n (shingles of each line, repeated ones too) and b0, b1, ...: a bit for each of BITS that the hash of a shingle names."""
+    word = F.shiftright("h", 6).bitwiseAND(BITS // 64 - 1)
+    bit = F.expr("shiftleft(1L, cast(h & 63 AS int))")
+    words = [F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(BITS // 64)]
+    return shingles(lines.select("id", "text").repartition("id"), width).groupBy("id").agg(F.count(F.lit(1)).alias("n"), *words)
+
+
+def may_link(x: dict[str, Column], y: dict[str, Column], n: Column, share: tuple[int, int]) -> Column:
+    """False only where the bitmaps prove that two lines of ``n`` shingles together don't link.
+
+    Every bit in which they differ is named by a shingle, of its own, that
+    only one of the lines has. Lines that link have at most (share[1] -
+    share[0]) / (share[1] + share[0]) of the shingles of both as such.
+    """
+    differ = reduce(Column.__add__, [F.bit_count(x[f"b{j}"].bitwiseXOR(y[f"b{j}"])) for j in range(BITS // 64)])
+    return differ * (share[1] + share[0]) <= n * (share[1] - share[0])
+
+
 def similar(lines: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int], scratch: Scratch, broadcast_ids: int) -> DataFrame:
     """The (u, v) whose full shingle sets have share[1] * intersection >= share[0] * union."""
     ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
@@ -141,6 +162,7 @@ def line_groups(lines: DataFrame, scratch: Scratch, width: int, share: tuple[int
     pairs = scratch.save(pairs.select(F.shiftright("p", 1).alias("u"), F.shiftright("q", 1).alias("v")).distinct(), "pairs")
     members = members.select("bucket", F.shiftright("key", 1).alias("id"), "sketch")
     links, tested = similar(lines, pairs, width, share, scratch, broadcast_ids), pairs
+    bits = None
 
     turn = 0
     while True:
@@ -149,16 +171,25 @@ def line_groups(lines: DataFrame, scratch: Scratch, width: int, share: tuple[int
         labelled = members.join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         labelled = scratch.save(labelled, "labelled")
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("bucket", "m")
-        open_ = scratch.save(labelled.join(few_or_all(mixed, broadcast_ids), "bucket"), "open")
+        left = scratch.save(labelled.join(few_or_all(mixed, broadcast_ids), "bucket"), "left")
         scratch.drop(labelled)
-        largest = open_.agg(F.max("m")).first()[0]
+        largest = left.agg(F.max("m")).first()[0]
         if not largest:
             return stars
+        if bits is None:  # components only grow: no later round has lines that the first hasn't
+            bits = scratch.save(bitmaps(lines.join(few_or_all(left.select("id").distinct(), broadcast_ids), "id", "left_semi"), width), "bits")
+        open_ = scratch.save(left.select("bucket", "id", "component", "m", "sketch.*").join(bits, "id"), "open")
+        scratch.drop(left)
+        # Numbers in columns of their own that Spark knows to hold no nulls: else the compiled comparison
+        # of two lines makes objects and passes the 8000 bytes above which the JVM interprets a method.
+        open_ = open_.select("bucket", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in open_.columns if c != "bucket"])
         each = pivots ** (turn + 1)
         chosen = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.floor(F.col("m") / each), F.lit(1))) == 0
-        pivot = open_.where(chosen).select("bucket", F.col("id").alias("p"), F.col("component").alias("c"), F.col("sketch").alias("y"))
-        fresh = open_.withColumnRenamed("sketch", "x").join(pivot, "bucket").where((F.col("c") != F.col("component")) & near)
-        fresh = fresh.select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+        pivot = open_.where(chosen).select("bucket", *[F.col(c).alias(f"p_{c}") for c in open_.columns if c not in ("bucket", "m")])
+        x, y = ({c: F.col(p + c) for c in open_.columns} for p in ("", "p_"))
+        could = (unequal(x, y) <= most) & may_link(x, y, x["n"] + y["n"], share)
+        fresh = open_.join(pivot, "bucket").where((x["component"] != y["component"]) & could)
+        fresh = fresh.select(F.greatest("id", "p_id").alias("u"), F.least("id", "p_id").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
         fresh = scratch.save(fresh, "pairs")
         more = similar(lines, fresh, width, share, scratch, broadcast_ids)
         tested = tested.unionByName(fresh)
