@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tideline.llm import lines
 
 WIDTH = 5
@@ -109,6 +111,23 @@ def test_bitmaps_reject_no_link(spark):
     assert len(links) > 20 and links <= passed and len(passed) < 300
 
 
+def test_two_lines_meet_in_one_bucket_only(spark):
+    """Lines that share many buckets make one row of the join on buckets, in every pair of them."""
+    r = random.Random(13)
+    rows = []
+    for i in range(40):
+        base = "".join(r.choice("abcdefghijklmnop ") for _ in range(r.choice([6, 30, 60, 500])))
+        rows += [(5 * i + j, base[:k] + "q" + base[k + 1 :]) for j, k in enumerate(r.sample(range(len(base)), 5))]
+    data = spark.createDataFrame(rows, "id long, text string")
+    signed = lines.signatures(data, WIDTH, 1).unionByName(lines.signatures(data, WIDTH, lines.COORDINATES)).withColumn("bands", lines.bands_of())
+    keyed = lines.banded(signed, "key", "bands", *lines.SKETCH).withColumn("earlier", F.expr(lines.EARLIER))
+    other = keyed.select("bucket", *[F.col(c).alias(f"p_{c}") for c in keyed.columns if c != "bucket"])
+    x, y = ({c: F.col(p + c) for c in keyed.columns if c != "bucket"} for p in ("", "p_"))
+    shared = keyed.join(other, "bucket").where(x["key"] < y["key"]).select("key", "p_key", (~lines.met_before(x, y)).alias("first"))
+    shared = shared.groupBy("key", "p_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("first").cast("int")).alias("firsts")).collect()
+    assert len(shared) > 100 and max(s.n for s in shared) > 8 and {s.firsts for s in shared} == {1}
+
+
 def test_recall_of_similar_pairs(spark, make):
     """Pairs at a similarity of 0.8 to 0.95, none of them alike otherwise."""
     r = random.Random(11)

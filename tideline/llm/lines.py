@@ -16,6 +16,13 @@ COORDINATES, ROWS = 40, 5
 SPARSE, ENOUGH = 30, 20
 #: Least hashes are looked for among so many shingles for each coordinate; a coordinate stays empty with probability exp(-NEAR).
 NEAR = 4
+#: Bits that a sketch keeps of each coordinate, and coordinates in each of its words.
+LANE = 16
+LANES = 64 // LANE
+#: The coordinates of each band: cut straight, then across.
+BANDS = [list(range(b, b + ROWS)) for b in range(0, COORDINATES, ROWS)] + [list(range(b, COORDINATES, COORDINATES // ROWS)) for b in range(COORDINATES // ROWS)]
+#: Least hashes and words of bitmaps are aggregated so many (a power of two) in a row: a row for each costs an entry, a column for each a test.
+TOGETHER = 8
 #: Bits of a bitmap of a line's shingles, 64 a word.
 BITS = 2048
 
@@ -58,7 +65,7 @@ def shingles(lines: DataFrame, width: int) -> DataFrame:
 
 
 def signatures(lines: DataFrame, width: int, permutations: int) -> DataFrame:
-    """key, filled, keys (of the bands, null if hardly filled) and sketch (8 bits of each coordinate) of each line's set.
+    """key, filled (a bit for each coordinate that has a hash, the first the lowest) and s0, s1, ... (LANE bits of each coordinate) of each line's set.
 
     key: twice the id, and 1 more for signatures from many permutations; these meet their like only.
 
@@ -68,32 +75,86 @@ def signatures(lines: DataFrame, width: int, permutations: int) -> DataFrame:
     With a permutation for each coordinate, none does.
     """
     hashed = shingles(lines.select("id", "text").repartition("id"), width)
+    groups = range(COORDINATES // TOGETHER)
     if permutations > 1:
-        many = hashed.select("id", "h").distinct().select("id", "h", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k"))
-        least = many.select("id", "k", F.shiftrightunsigned(F.xxhash64("h", "k"), 33).cast("int").alias("m"))
+        rows = hashed.select("id", "h", F.explode(F.array(*[F.lit(g) for g in groups])).alias("g"))
+        each = [F.shiftrightunsigned(F.xxhash64("h", F.col("g") * TOGETHER + j), 33).cast("int") for j in range(TOGETHER)]
     else:
         # Only what can be least: of n shingles, NEAR for each coordinate are expected below this. One stays of every line.
         low = (F.shiftrightunsigned("h", 33) * F.col("n") < F.lit((1 << 31) * COORDINATES * NEAR)) | (F.col("at") == 0)
-        least = hashed.where(low).select("id", F.shiftright(F.col("h").bitwiseAND((1 << 31) - 1) * COORDINATES, 31).cast("int").alias("k"), F.shiftrightunsigned("h", 33).cast("int").alias("m"))
-    least = least.groupBy("id", "k").agg(F.min("m").alias("m"))
+        rows = hashed.where(low).select("id", F.shiftright(F.col("h").bitwiseAND((1 << 31) - 1) * COORDINATES, 31).cast("int").alias("k"), F.shiftrightunsigned("h", 33).cast("int").alias("m"))
+        rows = rows.select("id", F.shiftright("k", TOGETHER.bit_length() - 1).alias("g"), F.col("k").bitwiseAND(TOGETHER - 1).alias("k"), "m")
+        each = [F.when(F.col("k") == j, F.col("m")) for j in range(TOGETHER)]
+    least = rows.groupBy("id", "g").agg(*[F.coalesce(F.min(x), F.lit(-1)).alias(f"m{j}") for j, x in enumerate(each)])
+
     # -1 stands for an empty coordinate.
-    whole = least.groupBy("id").agg(*[F.max(F.when(F.col("k") == k, F.col("m")).otherwise(-1)).alias(f"m{k}") for k in range(COORDINATES)], F.count(F.lit(1)).cast("int").alias("filled"))
-    blocks = COORDINATES // ROWS
-    crossed = [k for b in range(blocks) for k in range(b, COORDINATES, blocks)]
-    whole = whole.select("id", "filled", F.array(*[f"m{k}" for k in range(COORDINATES)]).alias("m"), F.array(*[f"m{k}" for k in crossed]).alias("x"))
-    keys = []
-    for b in range(2 * blocks):
-        band = F.slice(F.col("x" if b >= blocks else "m"), b % blocks * ROWS + 1, ROWS)
-        keys.append(F.when(F.size(F.array_remove(band, -1)) > ROWS // 2, F.xxhash64(F.lit(b + 100 * permutations), band)))
-    sketch = [F.aggregate(F.slice("m", j + 1, 8), F.lit(0).cast("long"), lambda s, m: F.shiftleft(s, 8).bitwiseOR(m.bitwiseAND(255).cast("long"))).alias(f"s{j // 8}") for j in range(0, COORDINATES, 8)]
-    return whole.select((F.col("id") * 2 + int(permutations > 1)).alias("key"), "filled", F.array(*keys).alias("keys"), F.struct(*sketch).alias("sketch"))
-
-
-def unequal(x: Column | dict[str, Column], y: Column | dict[str, Column]) -> Column:
-    """In how many of their bytes two sketches differ."""
+    words = [reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{w + i}").bitwiseAND((1 << LANE) - 1).cast("long"), LANE * i) for i in range(LANES)]).alias(f"w{w}") for w in range(0, TOGETHER, LANES)]
+    filled = reduce(Column.bitwiseOR, [F.shiftleft((F.col(f"m{j}") >= 0).cast("int"), j) for j in range(TOGETHER)])
+    packed = least.select("id", "g", filled.cast("long").alias("filled"), *words)
+    shifted = reduce(Column.bitwiseOR, [F.coalesce(F.max(F.when(F.col("g") == g, F.shiftleft("filled", g * TOGETHER))), F.lit(0).cast("long")) for g in groups])
+    sketch = [F.coalesce(F.max(F.when(F.col("g") == g, F.col(f"w{w}"))), F.lit(-1).cast("long")).alias(f"s{(g * TOGETHER + w) // LANES}") for g in groups for w in range(0, TOGETHER, LANES)]
+    return packed.groupBy("id").agg(shifted.alias("filled"), *sketch).select((F.col("id") * 2 + int(permutations > 1)).alias("key"), "filled", *[f"s{w}" for w in range(COORDINATES // LANES)])
+
+
+SKETCH = [f"s{w}" for w in range(COORDINATES // LANES)]
+#: A signature's bands before the one of its row.
+EARLIER = "bands & (shiftleft(1, band) - 1)"
+
+
+def lanes(of: list[int]) -> dict[int, int]:
+    """The bits that coordinates take in each word of a sketch, as signed numbers; only words that hold any."""
+    out = {w: sum(((1 << LANE) - 1) << LANE * (k % LANES) for k in of if k // LANES == w) for w in {k // LANES for k in of}}
+    return {w: m - (1 << 64) if m >> 63 else m for w, m in sorted(out.items())}
+
+
+def bands_of() -> Column:
+    """A bit for each band of which more than half of the coordinates are filled."""
+    each = [F.when(F.bit_count(F.col("filled").bitwiseAND(F.lit(sum(1 << k for k in of)))) > ROWS // 2, F.lit(1 << b)).otherwise(F.lit(0)) for b, of in enumerate(BANDS)]
+    return reduce(Column.bitwiseOR, each)
+
+
+def bucket(b: int) -> Column:
+    """Names band ``b`` of a signature: what the sketch keeps of its coordinates."""
+    return F.xxhash64(F.lit(b), F.col("key").bitwiseAND(1), *[F.col(f"s{w}").bitwiseAND(F.lit(m)) for w, m in lanes(BANDS[b]).items()])
+
+
+def banded(signed: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of signatures, band and bucket: a row for each of their bands."""
+    each = F.array(*[F.when(F.col("bands").bitwiseAND(1 << b) != 0, bucket(b)) for b in range(len(BANDS))])
+    return signed.select(*columns, F.posexplode(each).alias("band", "bucket")).where("bucket IS NOT NULL")
+
+
+def met_before(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Whether two signatures of one bucket also share the bucket of an earlier band; ``x`` has its EARLIER as earlier."""
+    either = lambda of: reduce(Column.bitwiseOR, of)
+    straight = len(BANDS) // 2
+    step = COORDINATES // ROWS // LANES  # words that hold the first coordinates of all bands cut across
+    across = [either(x[w].bitwiseXOR(y[w]) for w in SKETCH[r::step]) for r in range(step)]
+    out = F.lit(False)
+    for b, of in enumerate(BANDS[:-1]):
+        if b < straight:
+            differ = either(x[f"s{w}"].bitwiseXOR(y[f"s{w}"]).bitwiseAND(F.lit(m)) for w, m in lanes(of).items())
+        else:
+            differ = across[(b - straight) // LANES].bitwiseAND(F.lit([*lanes([b - straight]).values()][0]))
+        out = out | ((x["earlier"].bitwiseAND(y["bands"]).bitwiseAND(1 << b) != 0) & (differ == 0))
+    return out
+
+
+def known(column: str, kind: str = "long") -> Column:
+    """A number that is never null, so that Spark knows it.
+
+    Else the compiled comparison of two lines passes the 8000 bytes above
+    which the JVM interprets a method.
+    """
+    return F.coalesce(column, F.lit(0).cast(kind))
+
+
+def unequal(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """In how many of their coordinates two sketches differ by the lowest 8 bits."""
+    low8 = F.lit(sum(0xFF << LANE * i for i in range(LANES)))
     out = F.lit(0)
-    for j in range(COORDINATES // 8):
-        d = x[f"s{j}"].bitwiseXOR(y[f"s{j}"])
+    for v, w in zip(SKETCH[::2], SKETCH[1::2], strict=True):
+        d = x[v].bitwiseXOR(y[v]).bitwiseAND(low8).bitwiseOR(F.shiftleft(x[w].bitwiseXOR(y[w]).bitwiseAND(low8), 8))
         for by, low in ((4, 0x0F), (2, 0x03), (1, 0x01)):  # the lowest bit of each byte becomes the OR of its bits
             d = d.bitwiseOR(F.shiftrightunsigned(d, by)).bitwiseAND(F.lit(sum(low << 8 * i for i in range(8))))
         out = out + F.bit_count(d)
@@ -102,10 +163,14 @@ def unequal(x: Column | dict[str, Column], y: Column | dict[str, Column]) -> Col
 
 def bitmaps(lines: DataFrame, width: int) -> DataFrame:
     """id, n (shingles of each line, repeated ones too) and b0, b1, ...: a bit for each of BITS that the hash of a shingle names."""
-    word = F.shiftright("h", 6).bitwiseAND(BITS // 64 - 1)
+    groups = range(BITS // 64 // TOGETHER)
     bit = F.expr("shiftleft(1L, cast(h & 63 AS int))")
-    words = [F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(BITS // 64)]
-    return shingles(lines.select("id", "text").repartition("id"), width).groupBy("id").agg(F.count(F.lit(1)).alias("n"), *words)
+    word = F.shiftright("h", 6).bitwiseAND(BITS // 64 - 1).cast("int")
+    rows = shingles(lines.select("id", "text").repartition("id"), width).select("id", word.alias("w"), bit.alias("bit"))
+    rows = rows.select("id", F.shiftright("w", TOGETHER.bit_length() - 1).alias("g"), F.col("w").bitwiseAND(TOGETHER - 1).alias("w"), "bit")
+    none = F.lit(0).cast("long")
+    rows = rows.groupBy("id", "g").agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.when(F.col("w") == j, F.col("bit")).otherwise(none)).alias(f"w{j}") for j in range(TOGETHER)])
+    return rows.groupBy("id").agg(F.sum("n").alias("n"), *[F.bit_or(F.when(F.col("g") == g, F.col(f"w{j}")).otherwise(none)).alias(f"b{g * TOGETHER + j}") for g in groups for j in range(TOGETHER)])
 
 
 def may_link(x: dict[str, Column], y: dict[str, Column], n: Column, share: tuple[int, int]) -> Column:
@@ -119,6 +184,22 @@ def may_link(x: dict[str, Column], y: dict[str, Column], n: Column, share: tuple
     return differ * (share[1] + share[0]) <= n * (share[1] - share[0])
 
 
+def not_ruled_out(lines: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int], scratch: Scratch, broadcast_ids: int) -> DataFrame:
+    """The (u, v) that bitmaps of their shingles don't prove to be unlike."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    bits = scratch.save(bitmaps(lines.join(few_or_all(ids, broadcast_ids), "id", "left_semi"), width), "bits")
+    few = few_or_all(bits, broadcast_ids * 8 // BITS)
+    sides = []
+    for p, at in (("x_", "u"), ("y_", "v")):
+        side = few.select(F.col("id").alias(at), *[known(c).alias(p + c) for c in bits.columns if c != "id"])
+        sides.append(F.broadcast(side) if few is not bits else side)
+    both = pairs.select("u", "v").join(sides[0], "u").join(sides[1], "v")
+    x, y = ({c: F.col(p + c) for c in bits.columns if c != "id"} for p in ("x_", "y_"))
+    out = scratch.save(both.where(may_link(x, y, x["n"] + y["n"], share)).select("u", "v"), "pairs")
+    scratch.drop(bits)
+    return out
+
+
 def similar(lines: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int], scratch: Scratch, broadcast_ids: int) -> DataFrame:
     """The (u, v) whose full shingle sets have share[1] * intersection >= share[0] * union."""
     ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
@@ -140,29 +221,33 @@ def similar(lines: DataFrame, pairs: DataFrame, width: int, share: tuple[int, in
 def line_groups(lines: DataFrame, scratch: Scratch, width: int, share: tuple[int, int], broadcast_ids: int, pivots: int) -> DataFrame:
     """node, component over the ids of lines that are similar to another one."""
     one = scratch.save(signatures(lines, width, 1), "signatures")
-    sparse = few_or_all(one.where(F.col("filled") < SPARSE).select(F.shiftright("key", 1).alias("id")), broadcast_ids)
+    sparse = few_or_all(one.where(F.bit_count("filled") < SPARSE).select(F.shiftright("key", 1).alias("id")), broadcast_ids)
     full = scratch.save(signatures(lines.join(sparse, "id", "left_semi"), width, COORDINATES), "signatures")
-    signed = one.where(F.col("filled") >= ENOUGH).unionByName(full)
+    signed = one.where(F.bit_count("filled") >= ENOUGH).unionByName(full).withColumn("bands", bands_of())
 
-    keyed = signed.select("key", F.explode("keys").alias("bucket")).where("bucket IS NOT NULL")
+    keyed = banded(signed, "key")
     buckets = scratch.save(keyed.groupBy("bucket").agg(F.min("key").alias("centre"), F.max("key").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     large = buckets.where("n > 2").select("bucket", "centre", "n")
     if (many := large.count()) <= broadcast_ids:
         members = keyed.join(F.broadcast(large), "bucket")
     else:
         members = attach(keyed, large, ["bucket"], "n", ["centre", "n"], max(many, keyed.count()), ["key"]).where("centre IS NOT NULL")
-    sketches = signed.select("key", "sketch")
-    members = scratch.save(members.where("key <> centre").join(sketches, "key"), "members")
+    members = scratch.save(members.where("key <> centre"), "members")
 
     mean = COORDINATES * share[0] / share[1]
     most = int(COORDINATES - mean + 3 * (mean * (1 - share[0] / share[1])) ** 0.5)
-    near = unequal(F.col("x"), F.col("y")) <= most
-    pairs = buckets.where("n = 2").select(F.col("top").alias("p"), F.col("centre").alias("q")).unionByName(members.select(F.col("key").alias("p"), F.col("centre").alias("q"))).distinct()
-    pairs = pairs.join(sketches.select(F.col("key").alias("p"), F.col("sketch").alias("x")), "p").join(sketches.select(F.col("key").alias("q"), F.col("sketch").alias("y")), "q").where(near)
-    pairs = scratch.save(pairs.select(F.shiftright("p", 1).alias("u"), F.shiftright("q", 1).alias("v")).distinct(), "pairs")
-    members = members.select("bucket", F.shiftright("key", 1).alias("id"), "sketch")
-    links, tested = similar(lines, pairs, width, share, scratch, broadcast_ids), pairs
-    bits = None
+    x, y = ({c: F.col(p + c) for c in SKETCH} for p in ("x_", "y_"))
+    met = buckets.where("n = 2").select(F.col("top").alias("p"), F.col("centre").alias("q")).unionByName(members.select(F.col("key").alias("p"), F.col("centre").alias("q"))).distinct()
+    met = scratch.save(met, "met")
+    ends = few_or_all(met.select(F.explode(F.array("p", "q")).alias("key")).distinct(), broadcast_ids)
+    ends = scratch.save(signed.join(ends, "key", "left_semi").select("key", *SKETCH), "ends")
+    pairs = met
+    for p, at in (("x_", "p"), ("y_", "q")):
+        pairs = pairs.join(ends.select(F.col("key").alias(at), *[known(c).alias(p + c) for c in SKETCH]), at)
+    tested = scratch.save(pairs.where(unequal(x, y) <= most).select(F.shiftright("p", 1).alias("u"), F.shiftright("q", 1).alias("v")).distinct(), "pairs")
+    scratch.drop(met, ends)
+    links = similar(lines, not_ruled_out(lines, tested, width, share, scratch, broadcast_ids), width, share, scratch, broadcast_ids)
+    members = members.select("bucket", "band", "key", F.shiftright("key", 1).alias("id"))
 
     turn = 0
     while True:
@@ -176,24 +261,24 @@ def line_groups(lines: DataFrame, scratch: Scratch, width: int, share: tuple[int
         largest = left.agg(F.max("m")).first()[0]
         if not largest:
             return stars
-        if bits is None:  # components only grow: no later round has lines that the first hasn't
-            bits = scratch.save(bitmaps(lines.join(few_or_all(left.select("id").distinct(), broadcast_ids), "id", "left_semi"), width), "bits")
-        open_ = scratch.save(left.select("bucket", "id", "component", "m", "sketch.*").join(bits, "id"), "open")
+        sketches = signed.select("key", "bands", *SKETCH).join(few_or_all(left.select("key").distinct(), broadcast_ids), "key", "left_semi")
+        open_ = scratch.save(left.join(sketches, "key"), "open")
         scratch.drop(left)
-        # Numbers in columns of their own that Spark knows to hold no nulls: else the compiled comparison
-        # of two lines makes objects and passes the 8000 bytes above which the JVM interprets a method.
-        open_ = open_.select("bucket", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in open_.columns if c != "bucket"])
         each = pivots ** (turn + 1)
         chosen = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.floor(F.col("m") / each), F.lit(1))) == 0
-        pivot = open_.where(chosen).select("bucket", *[F.col(c).alias(f"p_{c}") for c in open_.columns if c not in ("bucket", "m")])
-        x, y = ({c: F.col(p + c) for c in open_.columns} for p in ("", "p_"))
-        could = (unequal(x, y) <= most) & may_link(x, y, x["n"] + y["n"], share)
-        fresh = open_.join(pivot, "bucket").where((x["component"] != y["component"]) & could)
-        fresh = fresh.select(F.greatest("id", "p_id").alias("u"), F.least("id", "p_id").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-        fresh = scratch.save(fresh, "pairs")
-        more = similar(lines, fresh, width, share, scratch, broadcast_ids)
-        tested = tested.unionByName(fresh)
+        plain = [known(c, t).alias(c) for c, t in open_.dtypes if c not in ("bucket", "key", "band", "m")]
+        numbered = open_.select("bucket", *plain, F.coalesce(F.expr(EARLIER), F.lit(0)).alias("earlier"), F.coalesce(chosen.cast("int"), F.lit(0)).alias("chosen"))
+        pivot = numbered.where("chosen = 1").select("bucket", *[F.col(c).alias(f"p_{c}") for c in numbered.columns if c not in ("bucket", "earlier", "chosen")])
+        x, y = ({c: F.col(p + c) for c in numbered.columns if p + c in (numbered if not p else pivot).columns} for p in ("", "p_"))
+        # Where both are pivots, one order will do; of the buckets that two lines share, the first.
+        once = (x["id"] > y["id"]) | (x["chosen"] == 0)
+        met = numbered.join(pivot, "bucket").where((x["component"] != y["component"]) & once & (unequal(x, y) <= most) & ~met_before(x, y))
+        met = met.select(F.greatest("id", "p_id").alias("u"), F.least("id", "p_id").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+        met = scratch.save(met, "pairs")
         scratch.drop(open_)
+        fresh = not_ruled_out(lines, met, width, share, scratch, broadcast_ids)
+        more = similar(lines, fresh, width, share, scratch, broadcast_ids)
+        tested = tested.unionByName(met)
         links = scratch.save(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
         if each >= largest:
             return components(links, scratch)
