@@ -143,3 +143,42 @@ def test_recall_of_similar_pairs(spark, make):
     linked = {2 * i + 1 for i in range(700) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
     gone = {i for i, t in left(make, rows).items() if not t}
     assert len(linked) > 300 and gone <= linked and len(gone) >= 0.98 * len(linked)
+
+
+def alike_lines(seed: int, n: int, changes: list[int]) -> list[tuple[int, str]]:
+    """Lines of one large group; each has some characters of the same line changed, in places of its own."""
+    r = random.Random(seed)
+    base = [r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)]
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for k in r.sample(range(10, 390), r.choice(changes)):
+            t[k] = r.choice("0123456789")
+        rows.append((i, " ".join("".join(t).split())))
+    return rows
+
+
+def test_few_pairs_below_the_threshold_leave_the_join_on_buckets(make, monkeypatch):
+    """All at a similarity of about 0.7, below what bitmaps let pass: the pairs that the join makes, over all turns."""
+    rows = alike_lines(5, 150, [8])
+    kept, save = [], lines.Scratch.save
+
+    def noted(self, df, label, *how):
+        out = save(self, df, label, *how)
+        if label == "pairs":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines.Scratch, "save", noted)
+    got = {i for i, t in left(make, rows).items() if t}
+    assert truth(rows) == (got, 0) and len(kept) > 3
+    assert sum(kept[2:]) < 500  # of 11,175; the first two are of lines and the smallest of their bucket
+
+
+def test_pivots_of_all_turns_find_what_one_turn_finds(make):
+    """Groups of chance: some lines link, most are between 0.6 and 0.8."""
+    rows = alike_lines(17, 90, [3, 4, 5, 6, 8])
+    want, linked = truth(rows)
+    for pivots in (2, 1000):
+        got = {r.doc_id for r in lines.fuzzy_lines(make(rows), pivots=pivots).collect() if r.text}
+        assert want <= got and len(got - want) <= 2 and linked > 50

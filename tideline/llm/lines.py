@@ -24,7 +24,7 @@ BANDS = [list(range(b, b + ROWS)) for b in range(0, COORDINATES, ROWS)] + [list(
 #: Least hashes and words of bitmaps are aggregated so many (a power of two) in a row: a row for each costs an entry, a column for each a test.
 TOGETHER = 8
 #: Bits of a bitmap of a line's shingles, 64 a word.
-BITS = 2048
+BITS = 4096
 
 
 def normal_line(line: Column) -> Column:
@@ -149,15 +149,24 @@ def known(column: str, kind: str = "long") -> Column:
     return F.coalesce(column, F.lit(0).cast(kind))
 
 
+#: The lowest 8 bits of each coordinate, eight in a word.
+LOW = [f"l{w}" for w in range(COORDINATES // 8)]
+
+
+def low_lanes() -> list[Column]:
+    """LOW of a sketch."""
+    low8 = F.lit(sum(0xFF << LANE * i for i in range(LANES)))
+    return [F.col(v).bitwiseAND(low8).bitwiseOR(F.shiftleft(F.col(w).bitwiseAND(low8), 8)).alias(c) for c, v, w in zip(LOW, SKETCH[::2], SKETCH[1::2], strict=True)]
+
+
 def unequal(x: dict[str, Column], y: dict[str, Column]) -> Column:
     """In how many of their coordinates two sketches differ by the lowest 8 bits."""
-    low8 = F.lit(sum(0xFF << LANE * i for i in range(LANES)))
     out = F.lit(0)
-    for v, w in zip(SKETCH[::2], SKETCH[1::2], strict=True):
-        d = x[v].bitwiseXOR(y[v]).bitwiseAND(low8).bitwiseOR(F.shiftleft(x[w].bitwiseXOR(y[w]).bitwiseAND(low8), 8))
-        for by, low in ((4, 0x0F), (2, 0x03), (1, 0x01)):  # the lowest bit of each byte becomes the OR of its bits
-            d = d.bitwiseOR(F.shiftrightunsigned(d, by)).bitwiseAND(F.lit(sum(low << 8 * i for i in range(8))))
-        out = out + F.bit_count(d)
+    for c in LOW:
+        d = x[c].bitwiseXOR(y[c])
+        for by in (4, 2, 1):  # the lowest bit of each byte becomes the OR of its bits
+            d = d.bitwiseOR(F.shiftrightunsigned(d, by))
+        out = out + F.bit_count(d.bitwiseAND(F.lit(sum(1 << 8 * i for i in range(8)))))
     return out
 
 
@@ -184,6 +193,17 @@ def may_link(x: dict[str, Column], y: dict[str, Column], n: Column, share: tuple
     return differ * (share[1] + share[0]) <= n * (share[1] - share[0])
 
 
+def alike(x: dict[str, Column], y: dict[str, Column], share: tuple[int, int]) -> Column:
+    """As ``may_link``, of lines whose bitmaps are arrays.
+
+    A join by a condition with functions of arrays isn't compiled as a whole,
+    but in methods of its parts. As a whole, this module's conditions would
+    pass the 8000 bytes above which the JVM interprets a method.
+    """
+    differ = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, d: n + d)
+    return differ * (share[1] + share[0]) <= (x["shingles"] + y["shingles"]) * (share[1] - share[0])
+
+
 def not_ruled_out(lines: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int], scratch: Scratch, broadcast_ids: int) -> DataFrame:
     """The (u, v) that bitmaps of their shingles don't prove to be unlike."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
@@ -236,14 +256,14 @@ def line_groups(lines: DataFrame, scratch: Scratch, width: int, share: tuple[int
 
     mean = COORDINATES * share[0] / share[1]
     most = int(COORDINATES - mean + 3 * (mean * (1 - share[0] / share[1])) ** 0.5)
-    x, y = ({c: F.col(p + c) for c in SKETCH} for p in ("x_", "y_"))
+    x, y = ({c: F.col(p + c) for c in LOW} for p in ("x_", "y_"))
     met = buckets.where("n = 2").select(F.col("top").alias("p"), F.col("centre").alias("q")).unionByName(members.select(F.col("key").alias("p"), F.col("centre").alias("q"))).distinct()
     met = scratch.save(met, "met")
     ends = few_or_all(met.select(F.explode(F.array("p", "q")).alias("key")).distinct(), broadcast_ids)
-    ends = scratch.save(signed.join(ends, "key", "left_semi").select("key", *SKETCH), "ends")
+    ends = scratch.save(signed.join(ends, "key", "left_semi").select("key", *low_lanes()), "ends")
     pairs = met
     for p, at in (("x_", "p"), ("y_", "q")):
-        pairs = pairs.join(ends.select(F.col("key").alias(at), *[known(c).alias(p + c) for c in SKETCH]), at)
+        pairs = pairs.join(ends.select(F.col("key").alias(at), *[F.col(c).alias(p + c) for c in LOW]), at)
     tested = scratch.save(pairs.where(unequal(x, y) <= most).select(F.shiftright("p", 1).alias("u"), F.shiftright("q", 1).alias("v")).distinct(), "pairs")
     scratch.drop(met, ends)
     links = similar(lines, not_ruled_out(lines, tested, width, share, scratch, broadcast_ids), width, share, scratch, broadcast_ids)
@@ -261,23 +281,29 @@ def line_groups(lines: DataFrame, scratch: Scratch, width: int, share: tuple[int
         largest = left.agg(F.max("m")).first()[0]
         if not largest:
             return stars
-        sketches = signed.select("key", "bands", *SKETCH).join(few_or_all(left.select("key").distinct(), broadcast_ids), "key", "left_semi")
-        open_ = scratch.save(left.join(sketches, "key"), "open")
-        scratch.drop(left)
-        each = pivots ** (turn + 1)
-        chosen = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.floor(F.col("m") / each), F.lit(1))) == 0
-        plain = [known(c, t).alias(c) for c, t in open_.dtypes if c not in ("bucket", "key", "band", "m")]
-        numbered = open_.select("bucket", *plain, F.coalesce(F.expr(EARLIER), F.lit(0)).alias("earlier"), F.coalesce(chosen.cast("int"), F.lit(0)).alias("chosen"))
-        pivot = numbered.where("chosen = 1").select("bucket", *[F.col(c).alias(f"p_{c}") for c in numbered.columns if c not in ("bucket", "earlier", "chosen")])
-        x, y = ({c: F.col(p + c) for c in numbered.columns if p + c in (numbered if not p else pivot).columns} for p in ("", "p_"))
+        if not turn:  # what is open later is open now
+            sketches = signed.select("key", F.shiftright("key", 1).alias("id"), "bands", *SKETCH, *low_lanes()).join(few_or_all(left.select("key").distinct(), broadcast_ids), "key", "left_semi")
+            marks = bitmaps(lines.join(few_or_all(left.select("id").distinct(), broadcast_ids), "id", "left_semi"), width)
+            marks = scratch.save(marks.select("id", F.col("n").alias("shingles"), F.array(*[f"b{j}" for j in range(BITS // 64)]).alias("bits")), "bits")
+            sketches = scratch.save(sketches.join(marks, "id").drop("id"), "sketches")
+            scratch.drop(marks, one, full, buckets)
+        open_ = left.join(sketches, "key")
+        # Pivots of a turn are pivots of those that follow, too; they have been compared with all of their bucket by then.
+        each = min(pivots ** (turn + 1), 1 << 31)
+        before = each // pivots if turn else 0
+        drawn = F.shiftrightunsigned(F.xxhash64("id"), 33) * F.col("m")
+        open_ = open_.where(drawn >= F.lit(before << 31))
+        plain = [c for c in open_.columns if c not in ("bucket", "key", "band", "m")]
+        numbered = open_.select("bucket", *plain, F.expr(EARLIER).alias("earlier"), (drawn < F.lit(each << 31)).cast("int").alias("chosen"))
+        pivot = numbered.where("chosen = 1").select("bucket", *[F.col(c).alias(f"p_{c}") for c in plain])
+        x, y = ({c: F.col(p + c) for c in [*plain, "earlier"][: len(plain) + (not p)]} for p in ("", "p_"))
         # Where both are pivots, one order will do; of the buckets that two lines share, the first.
-        once = (x["id"] > y["id"]) | (x["chosen"] == 0)
-        met = numbered.join(pivot, "bucket").where((x["component"] != y["component"]) & once & (unequal(x, y) <= most) & ~met_before(x, y))
+        once = (x["id"] > y["id"]) | (F.col("chosen") == 0)
+        met = numbered.join(pivot, "bucket").where((x["component"] != y["component"]) & once & (unequal(x, y) <= most) & ~met_before(x, y) & alike(x, y, share))
         met = met.select(F.greatest("id", "p_id").alias("u"), F.least("id", "p_id").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
         met = scratch.save(met, "pairs")
-        scratch.drop(open_)
-        fresh = not_ruled_out(lines, met, width, share, scratch, broadcast_ids)
-        more = similar(lines, fresh, width, share, scratch, broadcast_ids)
+        scratch.drop(left)
+        more = similar(lines, met, width, share, scratch, broadcast_ids)
         tested = tested.unionByName(met)
         links = scratch.save(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
         if each >= largest:
