@@ -182,3 +182,31 @@ def test_pivots_of_all_turns_find_what_one_turn_finds(make):
     for pivots in (2, 1000):
         got = {r.doc_id for r in lines.fuzzy_lines(make(rows), pivots=pivots).collect() if r.text}
         assert want <= got and len(got - want) <= 2 and linked > 50
+
+
+def test_lines_far_below_the_threshold_share_few_buckets(spark):
+    """Lines that share a third of their words: pairs that meet by chance grow with the square of the table, whatever is rejected later."""
+    r = random.Random(23)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(36)]
+    rows = [(i, " ".join(r.sample(words, 12))) for i in range(600)]
+    signed = lines.signatures(spark.createDataFrame(rows, "id long, text string"), WIDTH, 1).withColumn("bands", lines.bands_of())
+    n = F.count(F.lit(1))
+    pairs = lines.banded(signed, "key").groupBy("bucket").agg((n * (n - 1) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
+    assert pairs < 1500  # of 179,700; 2533 with bands of five
+
+
+def test_naming_buckets_stays_compiled(spark, tmp_path):
+    """The JVM interprets methods above 8000 bytes: no stage that names buckets may have one."""
+    lines.signatures(spark.createDataFrame([(1, "a line of text")], "id long, text string"), WIDTH, 1).write.parquet(f"{tmp_path}/s")
+    signed = spark.read.parquet(f"{tmp_path}/s").withColumn("bands", lines.bands_of())
+    signed = signed.unionByName(signed)
+    keyed = lines.banded(signed, "key")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (keyed.groupBy("bucket").agg(F.min("key"), F.max("key"), F.count(F.lit(1))), keyed.join(F.broadcast(spark.range(3).withColumnRenamed("id", "bucket")), "bucket")):
+            parts = df._jdf.queryExecution().debug().codegenToSeq()
+            sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+            assert sizes and 0 < max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -7,20 +7,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACES, Scratch, attach, components, few_or_all
+from ._common import SPACES, Scratch, attach, components, few_or_all, shuffles_dropped
 
 LAST = (1 << 63) - 1  # stands for a null doc_id: no document is larger
-#: Coordinates of a signature, and rows of a band; there are two bands for each ROWS coordinates.
-COORDINATES, ROWS = 40, 5
+#: Coordinates of a signature, and rows of a band; there are three bands for each ROWS coordinates.
+COORDINATES, ROWS = 48, 6
 #: Signatures with fewer filled coordinates also come from one permutation for each coordinate; those with fewer than ENOUGH only.
-SPARSE, ENOUGH = 30, 20
+SPARSE, ENOUGH = 34, 24
 #: Least hashes are looked for among so many shingles for each coordinate; a coordinate stays empty with probability exp(-NEAR).
 NEAR = 4
 #: Bits that a sketch keeps of each coordinate, and coordinates in each of its words.
 LANE = 16
 LANES = 64 // LANE
-#: The coordinates of each band: cut straight, then across.
-BANDS = [list(range(b, b + ROWS)) for b in range(0, COORDINATES, ROWS)] + [list(range(b, COORDINATES, COORDINATES // ROWS)) for b in range(COORDINATES // ROWS)]
+#: Bands of each cut, and words of a sketch that hold one coordinate of each of them.
+CUT = COORDINATES // ROWS
+STEP = CUT // LANES
+#: The coordinates of each band: cut straight, then across, then aslant (a lane further in each word, the fifth again the first).
+BANDS = [
+    *[list(range(b, b + ROWS)) for b in range(0, COORDINATES, ROWS)],
+    *[list(range(b, COORDINATES, CUT)) for b in range(CUT)],
+    *[[r * CUT + b // LANES * LANES + (b + r) % LANES for r in range(ROWS)] for b in range(CUT)],
+]
 #: Least hashes and words of bitmaps are aggregated so many (a power of two) in a row: a row for each costs an entry, a column for each a test.
 TOGETHER = 8
 #: Bits of a bitmap of a line's shingles, 64 a word.
@@ -118,24 +125,19 @@ def bucket(b: int) -> Column:
     return F.xxhash64(F.lit(b), F.col("key").bitwiseAND(1), *[F.col(f"s{w}").bitwiseAND(F.lit(m)) for w, m in lanes(BANDS[b]).items()])
 
 
-def banded(signed: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of signatures, band and bucket: a row for each of their bands."""
-    each = F.array(*[F.when(F.col("bands").bitwiseAND(1 << b) != 0, bucket(b)) for b in range(len(BANDS))])
-    return signed.select(*columns, F.posexplode(each).alias("band", "bucket")).where("bucket IS NOT NULL")
-
-
 def met_before(x: dict[str, Column], y: dict[str, Column]) -> Column:
     """Whether two signatures of one bucket also share the bucket of an earlier band; ``x`` has its EARLIER as earlier."""
     either = lambda of: reduce(Column.bitwiseOR, of)
-    straight = len(BANDS) // 2
-    step = COORDINATES // ROWS // LANES  # words that hold the first coordinates of all bands cut across
-    across = [either(x[w].bitwiseXOR(y[w]) for w in SKETCH[r::step]) for r in range(step)]
+    turned = lambda d, by: F.shiftrightunsigned(d, LANE * by).bitwiseOR(F.shiftleft(d, 64 - LANE * by)) if by else d  # noqa: E731  lane ``by`` becomes the lowest
+    words = [x[w].bitwiseXOR(y[w]) for w in SKETCH]
+    across = [either(words[r::STEP]) for r in range(STEP)]
+    aslant = [either(turned(d, i % LANES) for i, d in enumerate(words[r::STEP])) for r in range(STEP)]
     out = F.lit(False)
     for b, of in enumerate(BANDS[:-1]):
-        if b < straight:
-            differ = either(x[f"s{w}"].bitwiseXOR(y[f"s{w}"]).bitwiseAND(F.lit(m)) for w, m in lanes(of).items())
+        if b < CUT:
+            differ = either(words[w].bitwiseAND(F.lit(m)) for w, m in lanes(of).items())
         else:
-            differ = across[(b - straight) // LANES].bitwiseAND(F.lit([*lanes([b - straight]).values()][0]))
+            differ = (across if b < 2 * CUT else aslant)[b % CUT // LANES].bitwiseAND(F.lit([*lanes([b % LANES]).values()][0]))
         out = out | ((x["earlier"].bitwiseAND(y["bands"]).bitwiseAND(1 << b) != 0) & (differ == 0))
     return out
 
@@ -143,12 +145,20 @@ def met_before(x: dict[str, Column], y: dict[str, Column]) -> Column:
 def known(column: str, kind: str = "long") -> Column:
     """A number that is never null, so that Spark knows it.
 
-    Else the compiled comparison of two lines passes the 8000 bytes above
-    which the JVM interprets a method.
+    Else the compiled comparison of two lines, or the naming of a line's
+    buckets, passes the 8000 bytes above which the JVM interprets a method.
     """
     return F.coalesce(column, F.lit(0).cast(kind))
 
 
+def banded(signed: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of signatures, band and bucket: a row for each of their bands."""
+    rest = [c for c in columns if c not in ("key", "bands", *SKETCH)]
+    sure = signed.select(*rest, known("key").alias("key"), known("bands", "int").alias("bands"), *[known(w).alias(w) for w in SKETCH])
+    each = F.array(*[F.when(F.col("bands").bitwiseAND(1 << b) != 0, bucket(b)) for b in range(len(BANDS))])
+    return sure.select(*columns, F.posexplode(each).alias("band", "bucket")).where("bucket IS NOT NULL")
+
+
 #: The lowest 8 bits of each coordinate, eight in a word.
 LOW = [f"l{w}" for w in range(COORDINATES // 8)]
 
@@ -306,6 +316,7 @@ def line_groups(lines: DataFrame, scratch: Scratch, width: int, share: tuple[int
         more = similar(lines, met, width, share, scratch, broadcast_ids)
         tested = tested.unionByName(met)
         links = scratch.save(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
+        scratch.drop(more)
         if each >= largest:
             return components(links, scratch)
         turn += 1
@@ -322,9 +333,9 @@ def fuzzy_lines(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 1
     other, the first by doc_id and line number stays; blank lines stay where
     they are.
 
-    Signatures have 40 coordinates from one permutation, or from one each for
-    lines of few shingles. Candidates share one of 16 bands of 5 coordinates,
-    two ways of cutting 40 into fives (at a similarity of 0.8 with
+    Signatures have 48 coordinates from one permutation, or from one each for
+    lines of few shingles. Candidates share one of 24 bands of 6 coordinates,
+    three ways of cutting 48 into sixes (at a similarity of 0.8 with
     probability 0.993, at 0.85 with 0.999), and a sketch of all coordinates that is within three
     standard errors of the threshold. In each bucket all lines are compared
     with the smallest; where a bucket holds lines of different components,
@@ -340,7 +351,8 @@ def fuzzy_lines(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 1
     """
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.save(distinct_lines(docs), "lines", "zstd")
-    stars = line_groups(lines, scratch, width, share, broadcast_ids, pivots)
+    with shuffles_dropped(docs.sparkSession):  # of counts, too
+        stars = line_groups(lines, scratch, width, share, broadcast_ids, pivots)
     stars = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
     labelled = lines.select("id", "doc", "line").join(stars.withColumnRenamed("node", "id"), "id", "left")
     alone = labelled.where("component IS NULL").select("doc", "line")
